@@ -19,15 +19,65 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json"))).drop("uid")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import toxicity
+    from .common import held_out
+
+    documents = _table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(documents, _table(spark, sf_dir, "labels"), ~held)
+    return toxicity.score(documents, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import quality
+    from .common import held_out
+
+    documents = _table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 5, 0)
+    model = quality.fit(documents, _table(spark, sf_dir, "labels"), ~held)
+    return quality.score(documents, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import langid
+    from .common import held_out
+
+    documents = _table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 3, 1)
+    model = langid.fit(documents, ~held)
+    return langid.predict(documents, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_join
 
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import RULES, STANDARD, judge
+
+    return judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(STANDARD, RULES))
+
+
+def op9_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import registry, scan
+
+    return scan(_table(spark, sf_dir, "documents"), registry(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import licenses, urlfilter
+
+    return {"op8_url_filter": urlfilter.ORACLE_SQL, "op9_license_digest": licenses.ORACLE_SQL}

@@ -45,7 +45,7 @@ class ToxicConfig:
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 8  #: of each width
     prefixes: tuple[int, ...] = (3, 4, 5, 6, 7)
-    sample: int = 4000  #: labelled rows learned from, about; the bound of the fit
+    sample: int = 6000  #: labelled rows learned from, about; the bound of the fit
     passes: int = 4
     rate: float = 0.05
     held_back: float = 0.25

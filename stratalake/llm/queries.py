@@ -73,11 +73,20 @@ def op9_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"), registry(spark))
 
 
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import scratch
+    from .warc import read_archives, write_archives
+
+    folder = scratch(spark, "warc")
+    write_archives(_table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, urlfilter
+    from . import licenses, urlfilter, warc
 
-    return {"op8_url_filter": urlfilter.ORACLE_SQL, "op9_license_digest": licenses.ORACLE_SQL}
+    return {"op8_url_filter": urlfilter.ORACLE_SQL, "op9_license_digest": licenses.ORACLE_SQL, "op10_warc_round_trip": warc.ORACLE_SQL}

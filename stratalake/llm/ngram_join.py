@@ -17,6 +17,7 @@ counts as an id; an empty table gives an empty result; other columns of the inpu
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -365,7 +366,11 @@ def jaccard_join(df: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str =
 
 def one_of_each(df: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df that stay when one document of each linked group does: that with the least id. Texts without
-    words all stay but for repeated rows of an id."""
-    found = jaccard_join(df, config, doc_id, text)
-    keep = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return df.join(keep, df[doc_id].cast("long").eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates([doc_id])
+    words all stay, but a repeated row (of an id and a text) stays once; rows with a null id count as copies if their
+    texts are equal, and come after all ids."""
+    own = "_row_" + uuid.uuid4().hex
+    anonymous = F.coalesce(F.xxhash64(text), F.lit(0)).bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = df.withColumn(own, F.coalesce(F.col(doc_id).cast("long"), anonymous))
+    found = jaccard_join(rows, config, own, text)
+    keep = materialise(found.where("doc_id = class_id").select(F.col("doc_id").alias(own)).distinct(), "kept")
+    return rows.join(keep, own, "left_semi").dropDuplicates([own, text]).select(*df.columns)

@@ -48,7 +48,7 @@ def create_outcomes(nodes: DataFrame, creates: DataFrame, logs: DataFrame) -> Da
 
 def apply_creates(nodes: DataFrame, creates: DataFrame, outcomes: DataFrame, counter: int) -> DataFrame:
     """nodes and the inserted rows, stamped counter + ordinal. Columns of nodes that creates lacks are null or 0."""
-    new = creates.join(outcomes.where("outcome = 'INSERTED'").select("ordinal", F.col("depth").alias("_depth")), "ordinal")
+    new = creates.join(outcomes.where("outcome = 'INSERTED'").select("ordinal", *KEY, F.col("depth").alias("_depth")), ["ordinal", *KEY])
     stamp = (F.lit(counter) + F.col("ordinal")).cast("bigint")
     given = {"depth": F.col("_depth"), "created_at": stamp, "updated_at": stamp}
     zero = {"status", "visit_count", "icount", "virtual_ns", "last_visited_at"}

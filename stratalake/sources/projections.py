@@ -110,7 +110,7 @@ def manifest_entries(spark: SparkSession, sf_dir: str, layers: DataFrame) -> Dat
     own = best.select(F.col("l_orderkey").alias("o_orderkey"), "page_index", digest.alias("page_hash"))
     keys = layers.select("o_orderkey", "snapshot_ref", "is_delta")
     there = keys.join(own, "o_orderkey")
-    full = keys.where(~F.col("is_delta")).select("o_orderkey", "snapshot_ref", F.explode(F.sequence(F.lit(0), F.lit(RAM_PAGES - 1))).cast("bigint").alias("page_index"))
+    full = keys.where(~F.col("is_delta")).select("o_orderkey", "snapshot_ref", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(RAM_PAGES - 1).cast("bigint"))).alias("page_index"))
     filled = full.join(own, ["o_orderkey", "page_index"], "left").select("snapshot_ref", "page_index", F.coalesce("page_hash", sha(ZERO)).alias("page_hash"))
     return there.where("is_delta").select("snapshot_ref", "page_index", "page_hash").unionByName(filled)
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fsck, gc, manifests, mutations, pages, stats, tree
+from ..session import scratch
+from ..sources import containers
 from ..sources import projections as P
 from ..sources.projections import sha, with_sql
 
@@ -727,6 +729,69 @@ def fsck_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fsck.report(*[f(spark, sf_dir) for f in (fsck_missing_manifest, fsck_dangling_pin, fsck_missing_page, fsck_missing_input_log)])
 
 
+# ------------------------------------------------------------------ containers and streams
+
+
+@query(with_sql("manifest_entries", " SELECT page_index, page_hash FROM manifest_entries"))
+def manifest_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All layers as containers and back: the entries that were decoded."""
+    s = Store(spark, sf_dir)
+    layers = s.layers
+    entry = F.struct("page_index", F.unhex("page_hash").alias("page_hash"))
+    held = s.entries.groupBy("snapshot_ref").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    blob = F.struct(F.lit(7).cast("bigint").alias("format"), F.lit(False).alias("zstd"), F.lit("device").cast("binary").alias("bytes"), F.lit(6).cast("bigint").alias("raw_len"))
+    made = layers.join(held, "snapshot_ref").select(F.unhex("parent_ref").alias("parent_ref"), "guest_ram_bytes", "entries", blob.alias("device_blob"))
+    back = containers.decode_manifests(containers.encode_manifests(made), "container").where("error IS NULL")
+    return back.select(F.explode("entries").alias("e")).select("e.page_index", F.lower(F.hex("e.page_hash")).alias("page_hash"))
+
+
+@query(with_sql("input_logs", " SELECT content FROM input_logs"))
+def input_log_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = containers.decode_logs(containers.encode_logs(Store(spark, sf_dir).logs, "content"))
+    return back.where("error IS NULL").select(F.col("payload").cast("string").alias("content"))
+
+
+@query("""SELECT c_custkey // 1000 AS pack_id, 20 + 4133 * (row_number() OVER (PARTITION BY c_custkey // 1000 ORDER BY c_custkey) - 1) AS "offset", sha256(c_name) AS page_hash, sha256(repeat(sha256(c_name), 64)) AS payload_hash FROM customer""")
+def pack_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as pack files and read back from them."""
+    c = P.table(spark, sf_dir, "customer").select(F.sha2("c_name", 256).alias("h"), F.floor(F.col("c_custkey") / 1000).alias("pack_id"), F.col("c_custkey").alias("offset"))
+    folder = scratch(spark, "packs")
+    written = containers.write_packs(c.select(F.unhex("h").alias("page_hash"), F.repeat("h", 64).cast("binary").alias("payload"), "pack_id", "offset"), folder)
+    written.count()
+    back = containers.read_packs(containers.files(spark, folder, "*.spk")).where("error IS NULL")
+    return back.select("pack_id", "offset", F.lower(F.hex("page_hash")).alias("page_hash"), F.sha2("payload", 256).alias("payload_hash"))
+
+
+@query("""SELECT c_custkey // 1000 AS pack_id, 20 + 4133 * (row_number() OVER (PARTITION BY c_custkey // 1000 ORDER BY c_custkey) - 1) AS "offset", sha256(c_name) AS page_hash FROM customer""")
+def sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index as loaded from the sidecars of those packs."""
+    c = P.table(spark, sf_dir, "customer").select(F.sha2("c_name", 256).alias("h"), F.floor(F.col("c_custkey") / 1000).alias("pack_id"), F.col("c_custkey").alias("offset"))
+    folder = scratch(spark, "packs")
+    containers.write_packs(c.select(F.unhex("h").alias("page_hash"), F.repeat("h", 64).cast("binary").alias("payload"), "pack_id", "offset"), folder).count()
+    back = containers.read_sidecars(containers.files(spark, folder, "*.idx")).where("error IS NULL")
+    return back.select("pack_id", "offset", F.lower(F.hex("page_hash")).alias("page_hash"))
+
+
+@query("SELECT sha256(event_type || ':' || (user_id % 50)) AS page_hash FROM events GROUP BY 1")
+def stream_distinct_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of pages, deduplicated with state, all that is there."""
+    from ..streaming.ingest import distinct_pages
+
+    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{sf_dir}/events*.parquet")
+    hashed = stream.select(sha(F.col("event_type"), ":", (F.col("user_id") % 50).cast("string")).alias("page_hash"))
+    out = scratch(spark, "stream")
+    run = distinct_pages(hashed).writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("page_hash string").parquet(f"{out}/table")
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+
+
 @cache
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -81,14 +81,18 @@ def status_code(name: Column) -> Column:
     return out.cast("tinyint")
 
 
+def _big(bits: int) -> Column:
+    return F.lit(str(2**bits)).cast("decimal(20,0)")
+
+
 def signed(c: Column) -> Column:
     """An unsigned 64-bit number (DECIMAL(20,0)) as the stored BIGINT with the same bits."""
-    return F.when(c >= F.lit(2**63), c - F.lit(2**64)).otherwise(c).cast("bigint")
+    return F.when(c >= _big(63), c - _big(64)).otherwise(c).cast("bigint")
 
 
 def unsigned(c: Column) -> Column:
     d = c.cast("decimal(20,0)")
-    return F.when(c < 0, d + F.lit(2**64)).otherwise(d).cast("decimal(20,0)")
+    return F.when(c < 0, d + _big(64)).otherwise(d).cast("decimal(20,0)")
 
 
 def strict(ok: Column, value: Column, message: str) -> Column:

@@ -7,7 +7,8 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), os.environ.get("PYTHONPATH", "")])
-SF = "/root/testdata/sf0.001"
+sys.path.insert(0, str(Path(__file__).parent))
+from tables import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -37,13 +38,3 @@ def duck():
     for p in sorted(Path(SF).glob("*.parquet")):
         c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}{'/*.parquet' if p.is_dir() else ''}')")
     return c
-
-
-def rows(table):
-    """Rows of an Arrow table as sorted text, columns by name, numbers rounded."""
-    table = table.select(sorted(table.column_names))
-
-    def text(x):
-        return "\0" if x is None else f"{x:.6f}" if isinstance(x, float) else str(x)
-
-    return sorted(tuple(map(text, r)) for r in zip(*[c.to_pylist() for c in table.columns], strict=True))

@@ -1,7 +1,7 @@
 """Every store query against DuckDB on the same tables."""
 
 import pytest
-from conftest import SF, rows
+from tables import SF, rows
 
 from stratalake.plans import queries as plans
 

@@ -478,7 +478,8 @@ def clips(df: DataFrame, config: ShotConfig = ShotConfig(), doc_id: str = "doc_i
                 if error:
                     rows.append((doc, None, None, None, None, None, None, error))
                 first, d = shots(frames, config)
-                for k, (a, b) in enumerate(zip(first, [*first[1:], len(frames)], strict=True)):
+                for k, a in enumerate(first):
+                    b = first[k + 1] if k + 1 < len(first) else len(frames)
                     rows.append((doc, k, a, b - a, a / fps, b / fps, float(d[a]), None))
             cols = list(zip(*rows, strict=True)) or [()] * 8
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string())

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fsck, gc, manifests, mutations, pages, stats, tree
-from ..session import scratch
+from ..session import remove, scratch
 from ..sources import containers
 from ..sources import projections as P
 from ..sources.projections import sha, with_sql
@@ -772,6 +772,24 @@ def sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("pack_id", "offset", F.lower(F.hex("page_hash")).alias("page_hash"))
 
 
+@query("""SELECT CAST(c_custkey // 1000 AS INT) AS pack_id, 20 + 4133 * (row_number() OVER (PARTITION BY c_custkey // 1000 ORDER BY c_custkey) - 1) AS "offset", sha256(c_name) AS page_hash FROM customer""")
+def recovered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same index when the sidecars of odd packs are lost and read again from the records."""
+    c = P.table(spark, sf_dir, "customer").select(F.sha2("c_name", 256).alias("h"), F.floor(F.col("c_custkey") / 1000).alias("pack_id"), F.col("c_custkey").alias("offset"))
+    folder = scratch(spark, "packs")
+    written = containers.write_packs(c.select(F.unhex("h").alias("page_hash"), F.repeat("h", 64).cast("binary").alias("payload"), "pack_id", "offset"), folder)
+    for row in written.where("pack_id % 2 = 1").select("path").collect():
+        remove(spark, f"{folder}/{row['path'].rsplit('/', 1)[1][:-4]}.idx")
+    return containers.recover_index(spark, folder).select("pack_id", "offset", F.lower(F.hex("page_hash")).alias("page_hash"))
+
+
+@query(with_sql("tombstones", " SELECT CAST(count(*) AS BIGINT) AS cycles_total, max(created_at) AS last_fence_counter, CAST(77 AS BIGINT) AS last_finished_at, CAST(4133 AS BIGINT) AS last_freed_bytes FROM tombstones"))
+def gc_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state row after a cycle."""
+    state = P.tombstones(_nodes(spark, sf_dir)).agg(F.count("*").alias("cycles_total"), F.max("created_at").alias("last_fence_counter"), F.lit(0).cast("bigint").alias("last_finished_at"), F.lit(0).cast("bigint").alias("last_freed_bytes"))
+    return mutations.set_gc_state(state, last_finished_at=77, last_freed_bytes=4133)
+
+
 @query("SELECT sha256(event_type || ':' || (user_id % 50)) AS page_hash FROM events GROUP BY 1")
 def stream_distinct_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of pages, deduplicated with state, all that is there."""

@@ -186,3 +186,51 @@ def write_packs(pages: DataFrame, folder: str, sealed: bool = True) -> DataFrame
 
     rows = pages.repartition("pack_id").sortWithinPartitions("pack_id", "offset").select("pack_id", "page_hash", "payload")
     return rows.mapInArrow(run, out)
+
+
+def get_snapshots(layers: DataFrame, refs: DataFrame) -> DataFrame:
+    """layers: content of manifest files. The containers of the asked refs (snapshot_ref), with an error where the bytes are
+    not what the ref names."""
+    out = "snapshot_ref binary, container binary, error string"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = [x or b"" for x in batch.column(0).to_pylist()]
+            named = [r[-32:] if len(r) >= 32 else None for r in raws]
+            faults = [None if h == own else "ManifestCorrupt" for h, own in zip(codec.digests(raws), named, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(named, pa.binary()), pa.array(raws, pa.binary()), pa.array(faults, pa.string())], names=["snapshot_ref", "container", "error"])
+
+    found = layers.select(F.col("content").cast("binary").alias("content")).mapInArrow(run, out)
+    return found.join(refs.select("snapshot_ref").distinct(), "snapshot_ref", "left_semi")
+
+
+def bad_manifests(df: DataFrame) -> DataFrame:
+    """path, error of the manifest files that a start-up purge removes: those that do not decode, or carry another name."""
+    schema = _arrow(df.sparkSession, "path string, error string")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = [x or b"" for x in batch.column(1).to_pylist()]
+            rows = []
+            for path, raw, digest in zip(batch.column(0).to_pylist(), raws, codec.digests(raws), strict=True):
+                got = codec.decode_manifest(raw, digest)
+                if isinstance(got, str):
+                    rows.append({"path": path, "error": got})
+                elif not path.lower().endswith(f"{digest.hex()}.spm"):
+                    rows.append({"path": path, "error": "NameMismatch"})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return df.select("path", "content").mapInArrow(run, "path string, error string")
+
+
+def recover_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of a folder of packs after a crash: page_hash, pack_id, offset. Sealed packs with a sound sidecar are indexed
+    by it alone; all others by scanning their records up to the first torn one; runts and foreign files have none. Of
+    several places of a page the first counts."""
+    sidecars = read_sidecars(files(spark, folder, "*.idx"))
+    stem = F.regexp_extract("path", r"(pack-[0-9a-fA-F]{8})\.(spk|idx)$", 1)
+    sound = sidecars.groupBy(stem.alias("stem")).agg(F.count_if(F.col("error").isNotNull()).alias("bad")).where("bad = 0").select("stem")
+    loaded = sidecars.withColumn("stem", stem).join(sound, "stem", "left_semi")
+    scanned = read_packs(files(spark, folder, "*.spk").withColumn("stem", stem).join(sound, "stem", "left_anti"))
+    both = loaded.select("page_hash", "pack_id", "offset").unionByName(scanned.where("error IS NULL").select("page_hash", "pack_id", "offset"))
+    return both.groupBy("page_hash").agg(F.min(F.struct("pack_id", "offset")).alias("at")).select("page_hash", F.col("at.pack_id").cast("int").alias("pack_id"), F.col("at.offset").alias("offset"))

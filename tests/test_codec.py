@@ -173,3 +173,28 @@ def test_guest(spark):
     assert first == again and all(len(r["payload"]) == 4096 for r in first)
     later = guest.pages(spark, small, 3, 1).collect()
     assert 60 < sum(a["payload"] != b["payload"] for a, b in zip(sorted(first), sorted(later), strict=True)) < 140
+
+
+def test_recovery_after_a_crash(spark, tmp_path):
+    pages = [bytes([k]) * 4096 for k in range(5)]
+    named = list(zip(blake3_many(pages), pages, strict=True))
+    whole = C.encode_pack(1, named[:3])
+    (tmp_path / "pack-00000001.spk").write_bytes(whole)
+    (tmp_path / "pack-00000001.idx").write_bytes(C.encode_sidecar([(h, 1, 20 + 4133 * k) for k, (h, _) in enumerate(named[:3])]))
+    (tmp_path / "pack-00000002.spk").write_bytes(C.encode_pack(2, named[2:], sealed=False)[:-9])  # torn, no sidecar
+    (tmp_path / "pack-00000003.spk").write_bytes(b"SPK1")  # a runt
+    got = {bytes(r["page_hash"]): (r["pack_id"], r["offset"]) for r in containers.recover_index(spark, str(tmp_path)).collect()}
+    assert got == {h: (1, 20 + 4133 * k) for k, (h, _) in enumerate(named[:3])} | {named[3][0]: (2, 4153)}
+
+
+def test_get_and_purge_manifests(spark, tmp_path):
+    good = C.encode_manifest(FULL)
+    bad = bytearray(good)
+    bad[100] ^= 1
+    (tmp_path / f"{good[-32:].hex()}.spm").write_bytes(good)
+    (tmp_path / f"{'1' * 64}.spm").write_bytes(good)
+    (tmp_path / f"{'2' * 64}.spm").write_bytes(bytes(bad))
+    found = containers.files(spark, str(tmp_path), "*.spm")
+    assert sorted(r["error"] for r in containers.bad_manifests(found).collect()) == ["FooterMismatch", "NameMismatch"]
+    refs = spark.createDataFrame([(good[-32:],)], "snapshot_ref binary")
+    assert sorted(str(r["error"]) for r in containers.get_snapshots(found, refs).collect()) == ["ManifestCorrupt", "None", "None"]

@@ -17,6 +17,7 @@ are not learned from; other columns are ignored. Texts are scored whole.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -58,31 +59,40 @@ class ToxicConfig:
         return 1 + len(self.prefixes)
 
 
+class _Numbers(dict):
+    """Numbers its keys in the order in which they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Vocabulary:
     """Numbers the words of a few texts and gives each one's hashed parts and language groups."""
 
     def __init__(self, config: ToxicConfig, limit: int = 300_000):
         self.config, self.limit = config, limit
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         self.groups = [set(FUNCTION_WORDS[g].split()) for g in GROUPS[1:]]
 
-    def parts(self, word: str) -> tuple[int, ...]:
+    def parts(self, word: str) -> bytes:
         mask = (1 << self.config.bits) - 1
-        return tuple(xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass"), k) & mask for k, p in enumerate([word, *(word[:n] for n in self.config.prefixes)]))
+        return struct.pack(f"<{self.config.parts}I", *(xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass"), k) & mask for k, p in enumerate([word, *(word[:n] for n in self.config.prefixes)])))
 
     def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Word numbers of each text; parts of each number; language group of each text."""
-        split = [words_of(t) for t in texts]
+        number = _Numbers()
+        ids = []
+        for t in texts:  # a text's words are let go of before the next one's
+            words = words_of(t)
+            ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
         if len(self.known) > self.limit:
             self.known.clear()
-        number = {w: k for k, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
         for w in number:
             if w not in self.known:
                 self.known[w] = self.parts(w)
-        table = np.array([self.known[w] for w in number], np.int64).reshape(-1, self.config.parts)
+        table = np.frombuffer(b"".join(map(self.known.__getitem__, number)), "<u4").reshape(-1, self.config.parts).astype(np.int32)
         member = np.array([[w in g for g in self.groups] for w in number], bool).reshape(-1, len(self.groups))
-        get = number.__getitem__
-        ids = [np.fromiter(map(get, ws), np.int64, len(ws)) for ws in split]
         group = []
         for x in ids:
             votes = member[x].sum(0)

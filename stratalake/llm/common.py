@@ -6,24 +6,25 @@ whatever their names, never reach it. Texts are processed whole, in slices of bo
 
 from __future__ import annotations
 
-import atexit
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise, remove, scratch, shared_dir
+
+__all__ = ["BATCH_ROWS", "SLICE_CHARS", "WordHash", "held_out", "materialise", "prepare", "remove", "scratch", "segments", "shared_dir", "slices", "texts_of", "words_of"]
+
 WORD = re.compile(r"\w+")
 #: Characters of text that a Python worker turns into arrays at once; a longer text makes a slice alone.
 SLICE_CHARS = 4 << 20
 #: Rows per Arrow batch, so that a batch of very long texts still fits a worker.
 BATCH_ROWS = 1000
-_scratch: list[tuple[SparkSession, str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -31,49 +32,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
-
-        where = "file://" + tempfile.mkdtemp(prefix="stratalake-")
-        spark.sparkContext.setCheckpointDir(where)
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path with Spark's own file system client."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the interpreter ends."""
-    path = f"{shared_dir(spark)}/stratalake/{name}-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
-    return path
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _scratch:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended already
-            return
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder: a lost executor costs no recomputation beyond it."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo modulus, is remainder. A null id counts as the text of no characters."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import prepare, segments, slices, texts_of
 
 UND = "und"
+#: Characters at a time: a text of n characters takes about 60 n bytes of arrays.
+SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -188,7 +190,7 @@ def fit(df: DataFrame, usable: Column, config: LangConfig = LangConfig(), text:
     bits = config.bits
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, chars=SLICE):
             h, of, has = features(texts_of(batch), bits)
             ids, counts = [], []
             cuts = np.searchsorted(np.sort(of), np.arange(len(has) + 1))
@@ -210,7 +212,7 @@ def predict(df: DataFrame, model: LangModel, doc_id: str = "doc_id", text: str =
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, chars=SLICE):
             lang, score = shared.value.predict(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -223,7 +225,7 @@ def keep_known(df: DataFrame, model: LangModel, least: float = 0.5, text: str =
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             lang, score = shared.value.predict(texts_of(batch, text))
             keep = [x != UND and s >= least for x, s in zip(lang, score, strict=True)]
             yield batch.filter(pa.array(keep))

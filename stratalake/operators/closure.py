@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CHAIN_CAP
-from ..session import materialise
+from ..session import discard, materialise
 
 
 class ChainDepthExceeded(ValueError):
@@ -27,10 +27,11 @@ def ascend(links: DataFrame, starts: DataFrame, cap: int = CHAIN_CAP) -> DataFra
     walk = starts.select("start", F.col("start").alias("id"), F.lit(0).alias("distance")).distinct()
     step = 1
     while True:
-        if step == 1:
-            jump = materialise(jump, "jump")
-        else:
-            jump = materialise(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", "b.to"), "jump")
+        before = jump
+        if step > 1:
+            jump = jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", "b.to")
+        jump = materialise(jump, "jump")
+        discard(before)
         if jump.isEmpty():
             return walk
         if step >= cap:
@@ -38,8 +39,10 @@ def ascend(links: DataFrame, starts: DataFrame, cap: int = CHAIN_CAP) -> DataFra
             if not walk.join(jump, "id", "left_semi").isEmpty():
                 raise ChainDepthExceeded(f"more than {cap} links")
             return walk
+        shorter = walk
         walk = walk.unionByName(walk.join(jump, "id").select("start", F.col("to").alias("id"), (F.col("distance") + step).alias("distance")))
         walk = materialise(walk, "walk")
+        discard(shorter)
         step *= 2
 
 

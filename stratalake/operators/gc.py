@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CHAIN_CAP, PACK_HEADER, RECORD_SIZE
-from ..session import materialise
+from ..session import discard, materialise
 from .closure import ChainDepthExceeded
 from .mutations import orphan_logs, reap
 
@@ -55,16 +55,19 @@ def ascend_set(links: DataFrame, starts: DataFrame, cap: int = CHAIN_CAP) -> Dat
     jump = links.where("parent IS NOT NULL").select("id", F.col("parent").alias("to"))
     found, step = starts.select(F.col("start").alias("id")).distinct(), 1
     while True:
+        old = jump
         if step > 1:
             jump = jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", "b.to")
         jump = materialise(jump, "jump")
+        discard(old)
         if jump.isEmpty():
             return found
         if step >= cap:
             if not found.join(jump, "id", "left_semi").isEmpty():
                 raise ChainDepthExceeded(f"more than {cap} links")
             return found
-        found = materialise(found.unionByName(found.join(jump, "id").select(F.col("to").alias("id"))).distinct(), "marked")
+        fewer, found = found, materialise(found.unionByName(found.join(jump, "id").select(F.col("to").alias("id"))).distinct(), "marked")
+        discard(fewer)
         step *= 2
 
 

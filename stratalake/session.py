@@ -58,4 +58,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stratalake_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read any more; other DataFrames are left alone."""
+    for df in tables:
+        path = getattr(df, "_stratalake_path", None)
+        if path:
+            remove(df.sparkSession, path)

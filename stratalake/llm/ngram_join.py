@@ -199,7 +199,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         # large star: every larger neighbour of a joins the least of a's neighbourhood
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        # a table of its own, so that adaptive execution can split the join at a hub
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         large = materialise(large, "large-star")
         # small star: a and its smaller neighbours join the least of them
@@ -271,13 +272,11 @@ def _candidate_edges(classes: DataFrame, config: JoinConfig, width: int) -> Data
 
 
 def _verify(members: DataFrame, config: JoinConfig, width: int) -> DataFrame:
-    """members: root, key, copies, sig, grams, set (packed n-gram hashes). Returns a (key), b (key on a spanning link or
-    null), links and class_links (partial counts for a)."""
+    """members: root, cuts, key, copies, sig, set (packed n-gram hashes). Returns a (key), b (a key linked to it through any
+    number of links), links and class_links (partial counts for a)."""
     table = least_matches(config)
-    # A component is cut into blocks by its n-grams; each pair of blocks is one group, so a class is read once for each block.
-    totals = members.groupBy("root").agg(F.sum("grams").alias("total"))
-    cut = members.join(totals, "root").withColumn("cuts", F.greatest(F.lit(1), F.ceil(F.col("total") / config.block_grams).cast("int")))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("key", F.lit(config.seed)), F.col("cuts")).cast("int"))
+    # A component is cut into blocks; each pair of blocks is one group, so a class is read once for each block.
+    cut = members.withColumn("own", F.pmod(F.xxhash64("key", F.lit(config.seed)), F.col("cuts")).cast("int"))
     dealt = cut.select("root", "key", "copies", "sig", "set", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
     dealt = dealt.withColumn("group", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))).withColumn("side", F.col("own").cast("int")).withColumn("diagonal", F.col("own") == F.col("other"))
 
@@ -340,7 +339,10 @@ def jaccard_join(df: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str =
     roots = materialise(components(_candidate_edges(classes, config, width)), "roots")
 
     # The n-gram sets of candidates alone, made anew from one text of each class.
-    wanted = classes.select("key", "copies", "grams", "sig").join(roots.withColumnRenamed("id", "key"), "key")
+    # How many blocks a component takes is known before its sets join, so these are dealt by key and group alone.
+    wanted = materialise(classes.select("key", "copies", "grams", "sig").join(roots.withColumnRenamed("id", "key"), "key"), "candidates")
+    totals = materialise(wanted.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("grams") / config.block_grams).cast("int")).alias("cuts")), "totals")
+    wanted = wanted.join(totals, "root").drop("grams")
 
     def resets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash(config.seed)
@@ -348,7 +350,7 @@ def jaccard_join(df: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str =
             sets = gram_sets(texts_of(batch), config.n, hashes)
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes(), config.seed) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "set"])
 
-    chosen = roots.withColumnRenamed("id", "key").join(classes, "key").select(F.col("copy_id").alias("doc_id")).distinct()
+    chosen = wanted.select("key").join(classes, "key").select(F.col("copy_id").alias("doc_id")).distinct()
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     again = source.join(chosen, source["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").select("text").mapInArrow(resets, "key binary, set binary")
     members = materialise(wanted.join(again.dropDuplicates(["key"]), "key"), "members")

@@ -28,7 +28,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, remove
+from .common import materialise, prepare, remove
 
 MANIFEST = "name string, temporary string, shard int, records long, bytes long, sha256 string"
 RECORD = "page_id long, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to long"
@@ -139,6 +139,7 @@ def write_archives(df: DataFrame, folder: str, config: WarcConfig = WarcConfig()
     of, shards = _shards(pages, config)
     prints = pages.select("page_id", F.sha2("payload", 256).alias("print"), F.octet_length("payload").alias("size"))
     first = prints.where(F.col("size") >= config.revisit_bytes).groupBy("print").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
+    first = materialise(first, "first-pages")  # so that adaptive execution can split the join at a payload of many pages
     refers = prints.select("page_id", "print").join(first, "print").where("NOT page_id <=> first").distinct()
     # References and pages meet in the one shuffle that carries payloads; a reference sorts before its page.
     both = refers.select("page_id", "print", "first", F.lit("").alias("url"), F.lit(None).cast("binary").alias("payload")).unionByName(

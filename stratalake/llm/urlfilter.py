@@ -19,6 +19,8 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 RULES = "rule string, verdict string"
 #: The rules of the registered query.
 STANDARD = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -59,6 +61,8 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", page_id: st
         salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         found = exploded.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int")).join(salted, ["prefix", "salt"])
     best = found.where("full = digest").groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("size"), "cut", "verdict", "rule")).alias("best"))
+    # a table of its own and a merge join, so that adaptive execution can split the join at a URL of many rows
+    best = materialise(best, "verdicts").hint("merge")
     return pages.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 

@@ -145,9 +145,9 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, config: Quality
         return train([], [], config)
     # Both kinds at their own rate would move the base rate; the calibration needs it, so one rate holds for both.
     rate = min(1.0, 2 * config.sample / sum(counts.values()))
-    told = told.where(F.pmod(F.xxhash64("doc_id", F.lit(config.seed)), F.lit(1_000_003)) < rate * 1_000_003)
+    told = told.where(F.pmod(F.xxhash64("doc_id", F.lit(config.seed)), F.lit(1_000_003)) < rate * 1_000_003).limit(4 * config.sample)  # a bound for ids that repeat
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    got = texts.join(told, "doc_id").select("doc_id", "y", "text").toArrow().to_pydict()
+    got = texts.join(F.broadcast(told), "doc_id").select("doc_id", "y", "text").toArrow().to_pydict()
     rows = sorted(zip(got["doc_id"], got["y"], got["text"], strict=True))
     return train([r[2] for r in rows], [r[1] for r in rows], config)
 

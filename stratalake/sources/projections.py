@@ -26,10 +26,9 @@ def sha(*parts: Column | str) -> Column:
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_index, payload, page_hash, ordinal (arrival order)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    last = F.ceil(F.length("text") / BLOCK).cast("int") - 1
-    cut = docs.where(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    payload = F.expr(f"substring(text, 1 + {BLOCK} * i, {BLOCK})")
-    return cut.select("doc_id", F.col("i").cast("bigint").alias("page_index"), payload.alias("payload"), F.sha2(payload, 256).alias("page_hash"), (F.col("doc_id") * 1_000_000 + F.col("i")).alias("ordinal"))
+    # one pass over a text; cutting each block out by its number would start from the text's beginning every time
+    cut = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("i", "payload"))
+    return cut.select("doc_id", F.col("i").cast("bigint").alias("page_index"), "payload", F.sha2("payload", 256).alias("page_hash"), (F.col("doc_id") * 1_000_000 + F.col("i")).alias("ordinal"))
 
 
 def page_index(blocks: DataFrame) -> DataFrame:

@@ -342,6 +342,38 @@ def subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.subtree(nodes, nodes.where("node_id IN (1, 12)").select("experiment_id", "node_id"))
 
 
+_PATH_WHOLE = """,
+path(start, experiment_id, node_id, parent_node_id) AS (
+  SELECT node_id, experiment_id, node_id, parent_node_id FROM nodes
+  UNION ALL SELECT p.start, n.experiment_id, n.node_id, n.parent_node_id FROM path p JOIN nodes n ON n.experiment_id = p.experiment_id AND n.node_id = p.parent_node_id)"""
+
+
+@query(with_sql("nodes", _PATH_WHOLE + " SELECT start, experiment_id, node_id, depth, score FROM path JOIN nodes USING (experiment_id, node_id)", True))
+def get_path_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths from the root to every node of every tree."""
+    nodes = _nodes(spark, sf_dir)
+    return tree.get_path(nodes, nodes.select("experiment_id", "node_id")).select("start", "experiment_id", "node_id", "depth", "score")
+
+
+@query(with_sql("nodes", _PATH_WHOLE + " SELECT start, experiment_id, node_id, depth, l.content AS log_content FROM path JOIN nodes USING (experiment_id, node_id) LEFT JOIN (SELECT log_id, any_value(content) AS content FROM input_logs GROUP BY log_id) l ON l.log_id = input_log_id", True))
+def get_path_with_logs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths to every node, each node of them with its log."""
+    s = Store(spark, sf_dir)
+    nodes = s.nodes
+    path = tree.get_path(nodes, nodes.select("experiment_id", "node_id"))
+    return tree.with_logs(path, s.logs).select("start", "experiment_id", "node_id", "depth", "log_content")
+
+
+@query(with_sql("nodes", """,
+sub(root, experiment_id, node_id, level) AS (
+  SELECT node_id, experiment_id, node_id, 0 FROM nodes
+  UNION ALL SELECT s.root, n.experiment_id, n.node_id, s.level + 1 FROM sub s JOIN nodes n ON n.experiment_id = s.experiment_id AND n.parent_node_id = s.node_id) SELECT root, experiment_id, node_id, level FROM sub""", True))
+def subtree_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subtree below every node of every tree."""
+    nodes = _nodes(spark, sf_dir)
+    return tree.subtree(nodes, nodes.select("experiment_id", "node_id"))
+
+
 @query(with_sql("nodes", " SELECT DISTINCT experiment_id FROM nodes"))
 def list_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.list_experiments(_nodes(spark, sf_dir))

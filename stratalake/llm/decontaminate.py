@@ -5,7 +5,8 @@ divided by the item's score for its own words, so a score of 1 says that a passa
 threshold holds for items of all lengths. Passages are all windows of two half windows, so that each segment is whole
 in one of them. A bound over ranges of items, made from each half window's different words, skips most passages;
 block-max WAND retrieves, for the rest, every item above the threshold. A retrieved item counts as leaked when enough
-of its question's word trigrams are in the passage, and enough of its answer's words.
+of its question's word trigrams are in the passage, and enough of its answer's words. An item of several segments is
+verified as a whole, over all passages in which one of them was retrieved and the words around these.
 
 The index is broadcast; items beyond ``slice_items`` make further slices, each with an index of its own.
 
@@ -57,11 +58,18 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
     return words_of(" ".join(parts[:-1])), words_of(parts[-1])
 
 
+def _grams(words: Iterable[str]) -> set[tuple[str, ...]]:
+    """Trigrams; of fewer words, these."""
+    words = list(words)
+    return set(zip(words, words[1:], words[2:], strict=False)) or {tuple(words)}
+
+
 @dataclass
 class Segment:
     item: int | None
     question: list[str]
     answer: list[str]
+    whole: tuple | None = None  #: id, question and answer of the item, if it has more segments
 
 
 class Index:
@@ -70,11 +78,14 @@ class Index:
         seen, segments = set(), []
         for item, question, answer in items:
             words = question + answer
-            for at in range(0, len(words), config.segment):
-                q, a = question[at : at + config.segment], answer[max(0, at - len(question)) : max(0, at + config.segment - len(question))]
+            size = config.segment
+            # the last one starts earlier, so that all segments of a long item have the full length
+            for at in [min(k, max(0, len(words) - size)) for k in range(0, len(words), size)]:
+                q, a = question[at : at + size], answer[max(0, at - len(question)) : max(0, at + size - len(question))]
                 if (key := (item, tuple(q), tuple(a))) not in seen:
                     seen.add(key)
-                    segments.append(Segment(item, q, a))
+                    # of a long item, all is verified: its key tells its segments from those of equal ids
+                    segments.append(Segment(item, q, a, (item, tuple(question), tuple(answer)) if len(words) > size else None))
         counts = [Counter(s.question + s.answer) for s in segments]
         df = Counter(w for c in counts for w in c)
         mean = sum(c.total() for c in counts) / max(1, len(counts))
@@ -97,6 +108,7 @@ class Index:
                 lists[t].append((k, x))
                 r = k * n_ranges // len(self.segments)
                 self.range_max[t, r] = max(self.range_max[t, r], x)
+        self.whole = {s.whole: (_grams(s.whole[1]), s.whole[2]) for s in self.segments if s.whole}
         #: of each term: item numbers, weights, maximum, maximum and last item of each block
         self.postings = {}
         for t, p in lists.items():
@@ -171,11 +183,36 @@ class Index:
             question = 1.0
         return question, (sum(w in words for w in s.answer) / len(s.answer) if s.answer else 1.0)
 
+    def long_leaks(self, whole: tuple, hits: list[tuple[int, float]], words: list[str]) -> list[tuple]:
+        """The leak of an item of several segments, if enough of its whole question and answer is near those found."""
+        item, question, _ = whole
+        grams, answer = self.whole[whole]
+        window = 2 * self.config.segment
+        reach = len(question) + len(answer) + window
+        spans: list[list[int]] = []
+        for begin in sorted({begin for begin, _ in hits}):
+            first, last = max(0, begin - reach), min(len(words), begin + window + reach)
+            if spans and first <= spans[-1][1]:
+                spans[-1][1] = last
+            else:
+                spans.append([first, last])
+        n, have, own = min(3, len(question)), set(), set()
+        for first, last in spans:
+            own.update(words[first:last])
+            have.update(zip(*(words[first + k : last] for k in range(n)), strict=False))
+        q = len(grams & have) / len(grams) if question else 1.0
+        a = sum(w in own for w in answer) / len(answer) if answer else 1.0
+        if q < self.config.question or a < self.config.answer:
+            return []
+        begin, score = min(hits, key=lambda x: (-x[1], x[0]))
+        return [(item, min(1.0, score), q, a, begin, min(len(words), begin + window) - 1)]
+
     def leaks(self, texts: list[str]) -> list[list[tuple]]:
         """For each text: (item, score, question, answer, first word, last word), one for each leaked item."""
         half, get = self.config.segment, self.terms.get
         split = [words_of(t) for t in texts]
         out: list[list[tuple]] = [[] for _ in texts]
+        parts: list[dict[tuple, list[tuple[int, float]]]] = [defaultdict(list) for _ in texts]
         if not self.segments:
             return out
         n_terms = len(self.terms)
@@ -205,9 +242,16 @@ class Index:
             if self.range_max[terms].sum(0).max() < self.config.threshold - 1e-5:
                 continue  # words in both halves counted twice
             for segment, score in self.retrieve(terms):
+                s = self.segments[segment]
+                if s.whole:
+                    parts[doc][s.whole].append((begin, score))
+                    continue
                 question, answer = self.verify(segment, passage)
                 if question >= self.config.question and answer >= self.config.answer:
-                    out[doc].append((self.segments[segment].item, min(1.0, score), question, answer, begin, begin + len(passage) - 1))
+                    out[doc].append((s.item, min(1.0, score), question, answer, begin, begin + len(passage) - 1))
+        for doc, found in enumerate(parts):
+            for whole, hits in found.items():
+                out[doc] += self.long_leaks(whole, hits, split[doc])
         for k, found in enumerate(out):
             best: dict = {}
             for x in sorted(found, key=lambda x: (-x[1], -x[2], x[4])):

@@ -107,7 +107,7 @@ SELECT doc_id AS request, page_index AS pos, b.page_hash, ix.page_hash IS NOT NU
 def has_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Store(spark, sf_dir)
     request = s.blocks.select(F.col("doc_id").alias("request"), F.col("page_index").alias("pos"), "page_hash")
-    return pages.has_pages(request, P.page_index(s.stored_blocks))
+    return pages.has_pages(request, P.page_index(s.stored_blocks), cap=None)
 
 
 @query(with_sql("page_blocks", """

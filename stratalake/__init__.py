@@ -1,2 +1,2 @@
-"""Snapshot-store analytics on Spark: content-addressed pages, layered manifests, exploration trees, garbage
+"""Analytics for stores of layered memory images on Spark: content-addressed pages, layered manifests, exploration trees, garbage
 collection and integrity checks as DataFrame operators."""

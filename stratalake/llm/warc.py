@@ -1,17 +1,21 @@
 """WARC: a deterministic sharded writer, and a reader.
 
-Records are range-sorted by page id: exact byte counts of equal ranges of ids cut the table into shards of
-about the same size, so the same table always gives the same shards. A shard's task writes its records in order and
-rolls to a new file when the compressed size reaches ``file_bytes``. Headers and digests are made anew. Of records with
-equal payloads the least page id is the response and the others revisit it.
+Records are range-sorted by page id. Ranges of ids are counted exactly, and those with too many bytes are cut further
+until each fits a shard or is one id, so the same table always gives the same shards of about the same size, wherever
+its ids lie; an id with more bytes than a shard is cut by ranges of payload digests. Each shard is a partition of its
+own: a task writes its records in order and rolls to a new file when the compressed size reaches ``file_bytes``.
+Headers and digests are made anew. Of records with equal payloads the least page id is the response and the others
+revisit it.
 
 A file is written under a temporary name that no other attempt uses. The manifest, a table written by Spark's own
-commit protocol, lists the files of the attempts that count; a second step renames just those to their final names
-(again and again if need be, with the same outcome), and temporary files that no manifest lists are removed.
+commit protocol, lists the files of the attempts that count; ``commit`` renames just those to their final names, and
+temporary files that no manifest lists are removed. It may be called again after a crash at any point, with the same
+outcome; ``write_archives`` on a folder that has a manifest raises FileExistsError.
 
 Defined results: a null payload is empty; a null URL is an empty one; rows with equal ids and payloads are one response
-and revisits of it; rows with a null id are responses, unless a row with an id has the same payload, which they then
-revisit; an empty table gives no files; other columns are ignored.
+and revisits of it, in one shard; rows with a null id are responses, in the last shards, unless a row with an id has the
+same payload, which they then revisit; texts of any length are one record each; an empty table gives no files; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, prepare, remove
 
+#: Bytes of a file that are unpacked at a time.
+STEP = 1 << 16
+
 MANIFEST = "name string, temporary string, shard int, records long, bytes long, sha256 string"
 RECORD = "page_id long, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to long"
 #: Fixed value: the profile of a revisit with the same payload.
@@ -39,12 +46,12 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 @dataclass(frozen=True)
 class WarcConfig:
     shard_bytes: int = 16 << 20  #: of payload, about, in a shard
-    most_shards: int = 50_000  #: a larger table has larger shards
+    most_shards: int = 50_000  #: about; a larger table has larger shards
     file_bytes: int = 8 << 20  #: compressed size at which a file ends
     revisit_bytes: int = 0  #: shorter payloads are always responses
     date: str = "2000-01-01T00:00:00Z"  #: of every record; the tables have no capture time
     level: int = 6
-    id_ranges: int = 16_384  #: equal ranges of ids whose bytes are counted exactly; a shard is some of them
+    fan: int = 4  #: ranges that a range is cut into, for each shard it would fill
 
 
 def _digest(data: bytes) -> str:
@@ -111,41 +118,98 @@ class _Files:
             self.out, self.number = None, self.number + 1
 
 
-def _shards(pages: DataFrame, config: WarcConfig) -> tuple[Column, int]:
-    """The shard of a page id, from exact byte counts of ranges of ids, and the number of shards. Null ids are in the last."""
-    size = F.coalesce(F.octet_length("payload"), F.lit(0)) + 400
-    facts = pages.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.sum(size).alias("bytes")).first()
-    if facts["low"] is None:
-        return F.lit(0), 1
-    low, width = facts["low"], max(1, -(-(facts["high"] - facts["low"] + 1) // config.id_ranges))
-    target = max(config.shard_bytes, -(-facts["bytes"] // config.most_shards))
-    place = F.floor((F.col("page_id") - F.lit(low)) / width).cast("int")
-    held = pages.where("page_id IS NOT NULL").groupBy(place.alias("range")).agg(F.sum(size).alias("bytes")).orderBy("range").collect()  # at most id_ranges rows
-    of, shard, used = [0] * (held[-1]["range"] + 1), 0, 0
-    for row in held:
-        if used and used + row["bytes"] > target:
-            shard, used = shard + 1, 0
-        used += row["bytes"]
-        of[row["range"]] = shard
-    table = F.split(F.lit(",".join(map(str, of))), ",").cast("array<int>")  # folded into one literal
-    return F.coalesce(F.get(table, place), F.lit(shard)), shard + 1
+def _literal(values: list[int]) -> Column:
+    """An array that is folded into one constant."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+class Shards:
+    """A tree of ranges of ids, each with its exact bytes; a leaf fits a shard or is a single id.
+
+    The driver holds the tree alone, ``fan`` leaves for each shard of the table: a few times ``most_shards`` numbers."""
+
+    def __init__(self, sized: DataFrame, config: WarcConfig):
+        """sized: page_id, size."""
+        held = [F.sum("size").alias("bytes"), F.min("page_id").alias("low"), F.max("page_id").alias("high")]
+        loose, root = (sized.where(x).agg(*held).first() for x in ("page_id IS NULL", "page_id IS NOT NULL"))
+        total = (loose["bytes"] or 0) + (root["bytes"] or 0)
+        target = max(config.shard_bytes, -(-total // config.most_shards))
+        self.low, self.width, self.base, self.levels = [root["low"] or 0], [0], [0], 0
+        held_bytes, high, fresh = [root["bytes"] or 0], [root["high"] or 0], [0]
+        while heavy := [k for k in fresh if held_bytes[k] > target and self.low[k] < high[k]]:
+            start = len(self.low)
+            for k in heavy:
+                span = high[k] - self.low[k] + 1
+                fan = min(span, max(2, config.fan * -(-held_bytes[k] // target)))
+                self.width[k], self.base[k] = -(-span // fan), len(self.low)
+                for column in (self.low, self.width, self.base, held_bytes, high):
+                    column += [0] * fan
+            self.levels += 1
+            for r in self._noded(sized.where("page_id IS NOT NULL")).where(F.col("_node") >= start).groupBy("_node").agg(*held).collect():
+                k = r["_node"]
+                self.low[k], high[k], held_bytes[k] = r["low"], r["high"], r["bytes"]
+            fresh = range(start, len(self.low))
+        self.first, self.pieces, used, self.count = [0] * len(self.low), [1] * len(self.low), 0, 0
+        todo = [0]
+        while todo:
+            k = todo.pop()
+            if self.width[k]:
+                fan = -(-(high[k] - self.low[k] + 1) // self.width[k])
+                todo += reversed(range(self.base[k], self.base[k] + fan))
+                continue
+            if used and used + held_bytes[k] > target:
+                self.count, used = self.count + 1, 0
+            self.first[k], used = self.count, used + held_bytes[k]
+            if held_bytes[k] > target:
+                self.pieces[k] = -(-held_bytes[k] // target)
+                self.count, used = self.count + self.pieces[k], 0
+        self.count += bool(used)
+        self.loose, self.loose_pieces = self.count, -(-(loose["bytes"] or 0) // target)
+        self.count = max(1, self.count + self.loose_pieces)
+
+    def _noded(self, df: DataFrame) -> DataFrame:
+        """df with the leaf of each page_id; the steps are in decimals, as ids may lie 2^64 apart."""
+        low, width, base = _literal(self.low), _literal(self.width), _literal(self.base)
+        df = df.withColumn("_node", F.lit(0))
+        for _ in range(self.levels):
+            df = df.withColumns({"_low": F.get(low, F.col("_node")), "_width": F.get(width, F.col("_node")), "_base": F.get(base, F.col("_node"))})
+            down = F.expr("CASE WHEN _width = 0 THEN _node ELSE CAST(_base + (CAST(page_id AS DECIMAL(20, 0)) - _low) div _width AS INT) END")
+            df = df.withColumn("_node", F.when(F.col("page_id").isNotNull(), down).otherwise(0)).drop("_low", "_width", "_base")
+        return df
+
+    def dealt(self, df: DataFrame, everywhere: bool = False) -> DataFrame:
+        """df (page_id, print, url) with its shard; everywhere: a row of a null id goes to all shards of null ids."""
+        df = self._noded(df).withColumns({"_first": F.get(_literal(self.first), F.col("_node")), "_pieces": F.get(_literal(self.pieces), F.col("_node"))})
+        part = lambda digest, pieces: F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") * pieces / F.lit(1 << 32))
+        own = F.col("_first") + part(F.col("print"), F.col("_pieces"))
+        if everywhere:
+            loose = F.sequence(F.lit(self.loose), F.lit(self.loose + max(1, self.loose_pieces) - 1))
+            df = df.withColumn("shard", F.explode(F.when(F.col("page_id").isNotNull(), F.array(own.cast("int"))).otherwise(loose)))
+        else:
+            loose = F.lit(self.loose) + part(F.sha2(F.concat("print", "url"), 256), F.lit(max(1, self.loose_pieces)))
+            df = df.withColumn("shard", F.when(F.col("page_id").isNotNull(), own).otherwise(loose).cast("int"))
+        return df.drop("_node", "_first", "_pieces")
 
 
 def write_archives(df: DataFrame, folder: str, config: WarcConfig = WarcConfig(), page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write df's records below folder, a URI that pyarrow and Spark know. Returns the manifest."""
     spark = df.sparkSession
+    fs, top = FileSystem.from_uri(folder)
+    if fs.get_file_info(f"{top}/manifest/_SUCCESS").is_file:
+        raise FileExistsError(f"{folder} has a manifest; commit(spark, folder) finishes it")
     prepare(spark)
     pages = df.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
-    of, shards = _shards(pages, config)
+    shards = Shards(pages.select("page_id", (F.octet_length("payload") + 400).cast("long").alias("size")), config)
     prints = pages.select("page_id", F.sha2("payload", 256).alias("print"), F.octet_length("payload").alias("size"))
     first = prints.where(F.col("size") >= config.revisit_bytes).groupBy("print").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
     first = materialise(first, "first-pages")  # so that adaptive execution can split the join at a payload of many pages
     refers = prints.select("page_id", "print").join(first, "print").where("NOT page_id <=> first").distinct()
     # References and pages meet in the one shuffle that carries payloads; a reference sorts before its page.
-    both = refers.select("page_id", "print", "first", F.lit("").alias("url"), F.lit(None).cast("binary").alias("payload")).unionByName(
-        pages.select("page_id", F.sha2("payload", 256).alias("print"), F.lit(None).cast("long").alias("first"), "url", "payload")
-    )
-    both = both.withColumn("shard", of.cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "print", F.col("payload").isNotNull(), "url")
+    columns = ["page_id", "print", "first", "url", "payload", "shard"]
+    refers = shards.dealt(refers.select("page_id", "print", "first", F.lit("").alias("url"), F.lit(None).cast("binary").alias("payload")), True)
+    own = shards.dealt(pages.select("page_id", F.sha2("payload", 256).alias("print"), F.lit(None).cast("long").alias("first"), "url", "payload"))
+    both = refers.select(*columns).unionByName(own.select(*columns))
+    both = both.repartitionById(shards.count, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "print", F.col("payload").isNotNull(), "url")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, shard, refer, last = _Files(folder, config), None, None, None
@@ -167,12 +231,16 @@ def write_archives(df: DataFrame, folder: str, config: WarcConfig = WarcConfig()
         cols = list(zip(*files.rows, strict=True)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["name", "temporary", "shard", "records", "bytes", "sha256"])
 
-    fs, top = FileSystem.from_uri(folder)
     fs.create_dir(f"{top}/_temporary", recursive=True)
-    both.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    both.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return commit(spark, folder)
+
+
+def commit(spark: SparkSession, folder: str) -> DataFrame:
+    """Give the files that the manifest lists their final names and remove all other attempts. Returns the manifest."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
-    def commit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rename(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = FileSystem.from_uri(folder)
         for batch in batches:
             for name, temporary, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -181,17 +249,26 @@ def write_archives(df: DataFrame, folder: str, config: WarcConfig = WarcConfig()
                     fs.move(f"{top}/{temporary}", f"{top}/{name}")
             yield batch.select(["name"])
 
-    assert manifest.select("name", "temporary", "bytes").mapInArrow(commit, "name string").count() == manifest.count()
+    renamed, listed = manifest.select("name", "temporary", "bytes").mapInArrow(rename, "name string").count(), manifest.count()
+    if renamed != listed:
+        raise RuntimeError(f"{renamed} of {listed} files of {folder} were renamed; call commit again")
     remove(spark, f"{folder}/_temporary")
     return manifest
 
 
 def members(raw: bytes) -> Iterator[bytes]:
-    """Records of a file, each a gzip member of its own."""
-    while raw:
-        unpack = zlib.decompressobj(31)
-        yield unpack.decompress(raw) + unpack.flush()
-        raw = unpack.unused_data
+    """Records of a file, each a gzip member of its own; the rest of the file is never copied."""
+    view, at = memoryview(raw), 0
+    while at < len(view):
+        unpack, parts = zlib.decompressobj(31), []
+        while not unpack.eof:
+            piece = view[at : at + STEP]
+            if not piece:
+                raise ValueError("the last record of a file is cut off")
+            parts.append(unpack.decompress(piece))
+            at += len(piece)
+        at -= len(unpack.unused_data)
+        yield b"".join(parts)
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:

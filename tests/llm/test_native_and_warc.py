@@ -116,3 +116,61 @@ def test_damage_is_noticed():
         warc.parse_record(record.replace(b"payload", b"poyload"))
     with pytest.raises(ValueError):
         warc.parse_record(b"HTTP/1.1")
+
+
+def archive_of(spark, folder, rows, **config):
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    manifest = warc.write_archives(df, folder, warc.WarcConfig(**config)).collect()
+    got = warc.read_archives(spark, folder, True).collect()
+    assert len(got) == len(rows)
+    return manifest, got
+
+
+def test_shards_with_outlying_and_null_ids(spark, tmp_path):
+    """One outlying id, an id with many rows and many null ids: no shard is much larger than asked for."""
+    html = lambda k: f"{k} " + "x" * 600
+    rows = [(k, f"u{k}", html(k)) for k in range(300)] + [(2**63 - 1, "u", "out"), (-(2**63), "u", "low")] + [(400, f"u{k}", html(1000 + k)) for k in range(300)] + [(None, f"u{k}", html(5)) for k in range(300)]
+    manifest, got = archive_of(spark, f"file://{tmp_path}/w", rows, shard_bytes=20_000, file_bytes=1 << 30)
+    assert max(r["records"] for r in manifest) <= 45 and len(manifest) >= 35
+    assert sorted(r["shard"] for r in manifest) == [r["shard"] for r in sorted(manifest, key=lambda r: r["name"])]
+    assert all(r["refers_to"] == 5 for r in got if r["page_id"] is None)
+    by_file = {}
+    for r in sorted(manifest, key=lambda r: r["name"]):
+        raw = (tmp_path / "w" / r["name"]).read_bytes()
+        by_file[r["name"]] = [int(h["x-page-id"]) for h in (warc.parse_record(m)[0] for m in warc.members(raw)) if "x-page-id" in h]
+    ids = [i for own in by_file.values() for i in own]
+    assert ids == sorted(ids)
+
+
+def test_a_crash_between_manifest_and_renames(spark, tmp_path, monkeypatch):
+    rows = [(k, "u", f"page {k}") for k in range(50)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    with monkeypatch.context() as m:
+        m.setattr(warc, "commit", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            warc.write_archives(df, folder, warc.WarcConfig(file_bytes=1000))
+    assert not list((tmp_path / "w").glob("*.warc.gz"))
+    with pytest.raises(FileExistsError):
+        warc.write_archives(df, folder)
+    for _ in range(2):
+        assert warc.commit(spark, folder).count() == len(list((tmp_path / "w").glob("*.warc.gz"))) > 2
+        assert warc.read_archives(spark, folder).count() == 50
+    assert not (tmp_path / "w" / "_temporary").exists()
+
+
+def test_long_payloads_and_torn_files(spark, tmp_path):
+    rng = random.Random(1)
+    long = "".join(rng.choice("abcdefgh é") for _ in range(1_500_000))
+    _, got = archive_of(spark, f"file://{tmp_path}/w", [(1, "u", long), (2, "u", "x"), (3, "u", long)])
+    assert {r["page_id"]: len(r["payload"]) for r in got if r["record_type"] == "response"} == {1: len(long.encode()), 2: 1}
+    raw = warc.page_record(1, "u", b"payload", None, warc.WarcConfig())
+    assert len(list(warc.members(raw * 3))) == 3
+    with pytest.raises(ValueError):
+        list(warc.members(raw + raw[:-3]))
+
+
+def test_extra_columns_of_pages(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "a", 5, "s", 7), (2, "u", "a", 6, "t", 8)], "page_id bigint, url string, html string, shard int, print string, first bigint")
+    warc.write_archives(df, f"file://{tmp_path}/w")
+    assert {r["page_id"]: r["refers_to"] for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()} == {1: None, 2: 1}

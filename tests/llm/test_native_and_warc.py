@@ -174,3 +174,12 @@ def test_extra_columns_of_pages(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "a", 5, "s", 7), (2, "u", "a", 6, "t", 8)], "page_id bigint, url string, html string, shard int, print string, first bigint")
     warc.write_archives(df, f"file://{tmp_path}/w")
     assert {r["page_id"]: r["refers_to"] for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()} == {1: None, 2: 1}
+
+
+def test_very_long_urls(spark):
+    host, path = "a." * 400_000 + "b.a.com", "/x" * 200_000
+    urls = [f"http://{host}/x/y", f"http://a.com{path}", f"http://{'a' * 10**6}.com/x", f"x://a.com?{path}"]
+    rules = [("a.com/x", "block"), ("b.a.com/x/", "allow"), ("com/", "allow")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"], len(r["host"])) for r in urlfilter.judge(df, spark.createDataFrame(rules, urlfilter.RULES), "none").collect()}
+    assert got == {0: ("b.a.com/x/", "allow", len(host)), 1: ("a.com/x", "block", 5), 2: ("com/", "allow", 10**6 + 4), 3: (None, "none", 5)}

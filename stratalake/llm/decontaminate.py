@@ -8,12 +8,15 @@ block-max WAND retrieves, for the rest, every item above the threshold. A retrie
 of its question's word trigrams are in the passage, and enough of its answer's words. An item of several segments is
 verified as a whole, over all passages in which one of them was retrieved and the words around these.
 
-The index is broadcast; items beyond ``slice_items`` make further slices, each with an index of its own.
-
-Defined results: a null or empty text has no passage and no leak; an item without words leaks nowhere; a null item id
-is one more id; repeated rows of documents each have their leaks, repeated rows of items leak once; empty tables give
-empty results; other columns are ignored. Without separate columns the last sentence of an item is its answer; an
-item of one sentence is a question alone.
+Document frequencies, the number of segments and their mean length are counted over the whole item table, so an item's
+scores do not depend on how items are dealt. The index is broadcast in slices of at most about ``slice_items`` segments;
+one scan of the documents asks ``scan_slices`` of them, and more items take more scans.
+
+Defined results: a null or empty text has no passage and no leak; an item of fewer than ``least_words`` words says
+nothing about a text and leaks nowhere; a null item id is one more id; repeated rows of documents each have their leaks,
+repeated rows of items leak once; different items with one id leak once, by the best of them; empty tables give empty
+results; texts and items of any length are processed whole; other columns are ignored. Ties of passages go to the
+first. Without separate columns the last sentence of an item is its answer; an item of one sentence is a question alone.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, texts_of, words_of
+from .common import materialise, prepare, slices, texts_of, words_of
 
 LEAK = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, last_word long"
 #: Characters at a time; the bounds of their half windows take the most memory.
@@ -47,7 +50,9 @@ class LeakConfig:
     segment: int = 64  #: words of an indexed segment at most; also half a window
     block: int = 32  #: postings with one maximum
     ranges: int = 64  #: of items, for the first bound
-    slice_items: int = 20_000  #: items broadcast at once
+    slice_items: int = 20_000  #: segments of a broadcast index, about
+    scan_slices: int = 4  #: indexes that one scan of the documents asks
+    least_words: int = 3  #: of an item; fewer are found anywhere by chance
 
 
 def split_item(text: str) -> tuple[list[str], list[str]]:
@@ -72,33 +77,54 @@ class Segment:
     whole: tuple | None = None  #: id, question and answer of the item, if it has more segments
 
 
+def segments_of(item: int | None, question: list[str], answer: list[str], config: LeakConfig) -> Iterator[Segment]:
+    """An item's segments; the last one starts earlier, so that all of a long item have the full length."""
+    words, size = question + answer, config.segment
+    if len(words) < config.least_words:
+        return
+    # of a long item, all is verified: its key tells its segments from those of equal ids
+    whole = (item, tuple(question), tuple(answer)) if len(words) > size else None
+    seen = set()
+    for at in range(0, len(words), size):
+        at = min(at, max(0, len(words) - size))
+        q, a = question[at : at + size], answer[max(0, at - len(question)) : max(0, at + size - len(question))]
+        if (key := (tuple(q), tuple(a))) not in seen:
+            seen.add(key)
+            yield Segment(item, q, a, whole)
+
+
+@dataclass(frozen=True)
+class Counts:
+    """Of all segments of the item table: their number, mean length, and the segments with each word (of a slice's)."""
+
+    segments: int
+    mean: float
+    df: dict[str, int]
+
+    @staticmethod
+    def of(segments: list[Segment]) -> Counts:
+        sizes = [len(s.question) + len(s.answer) for s in segments]
+        return Counts(len(sizes), sum(sizes) / max(1, len(sizes)), Counter(w for s in segments for w in set(s.question + s.answer)))
+
+
 class Index:
-    def __init__(self, items: list[tuple[int | None, list[str], list[str]]], config: LeakConfig):
+    def __init__(self, items: list[tuple[int | None, list[str], list[str]]], config: LeakConfig, whole: Counts | None = None):
+        """whole: the counts of the item table that these items are a slice of."""
         self.config = config
-        seen, segments = set(), []
-        for item, question, answer in items:
-            words = question + answer
-            size = config.segment
-            # the last one starts earlier, so that all segments of a long item have the full length
-            for at in [min(k, max(0, len(words) - size)) for k in range(0, len(words), size)]:
-                q, a = question[at : at + size], answer[max(0, at - len(question)) : max(0, at + size - len(question))]
-                if (key := (item, tuple(q), tuple(a))) not in seen:
-                    seen.add(key)
-                    # of a long item, all is verified: its key tells its segments from those of equal ids
-                    segments.append(Segment(item, q, a, (item, tuple(question), tuple(answer)) if len(words) > size else None))
+        segments = [s for item in dict.fromkeys((i, tuple(q), tuple(a)) for i, q, a in items) for s in segments_of(item[0], list(item[1]), list(item[2]), config)]
+        whole = whole or Counts.of(segments)
+        df, mean = whole.df, whole.mean
         counts = [Counter(s.question + s.answer) for s in segments]
-        df = Counter(w for c in counts for w in c)
-        mean = sum(c.total() for c in counts) / max(1, len(counts))
         weighed = []
         for s, c in zip(segments, counts, strict=True):
             n = c.total()
-            w = {t: math.log(1 + (len(counts) - df[t] + 0.5) / (df[t] + 0.5)) * f * (config.k1 + 1) / (f + config.k1 * (1 - config.b + config.b * n / mean)) for t, f in c.items()}
+            w = {t: math.log(1 + (whole.segments - df[t] + 0.5) / (df[t] + 0.5)) * f * (config.k1 + 1) / (f + config.k1 * (1 - config.b + config.b * n / mean)) for t, f in c.items()}
             own = sum(w.values())
             weighed.append((n, s, {t: x / own for t, x in w.items()}))
         weighed.sort(key=lambda x: (x[0], x[1].item if x[1].item is not None else -1, x[1].question))  # alike lengths share blocks
         self.segments = [s for _, s, _ in weighed]
         self.grams = [set(zip(s.question, s.question[1:], s.question[2:], strict=False)) or {tuple(s.question)} for s in self.segments]
-        self.terms = {t: k for k, t in enumerate(sorted(df))}
+        self.terms = {t: k for k, t in enumerate(sorted({t for c in counts for t in c}))}
         lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
         n_ranges = max(1, min(config.ranges, len(self.segments)))
         self.range_max = np.zeros((len(self.terms), n_ranges), np.float32)
@@ -252,24 +278,70 @@ class Index:
         for doc, found in enumerate(parts):
             for whole, hits in found.items():
                 out[doc] += self.long_leaks(whole, hits, split[doc])
-        for k, found in enumerate(out):
-            best: dict = {}
-            for x in sorted(found, key=lambda x: (-x[1], -x[2], x[4])):
-                best.setdefault(x[0], x)
-            out[k] = sorted(best.values(), key=lambda x: (x[0] is None, x[0] or 0))
-        return out
+        return [best_of(found) for found in out]
+
+
+def best_of(found: list[tuple]) -> list[tuple]:
+    """The best leak of each item."""
+    best: dict = {}
+    for x in sorted(found, key=lambda x: (-x[1], -x[2], x[4])):
+        best.setdefault(x[0], x)
+    return sorted(best.values(), key=lambda x: (x[0] is None, x[0] or 0))
+
+
+TOLD = "item_id long, question array<string>, answer array<string>, words array<string>, segments long, length long, part long"
 
 
-def indexes(items: DataFrame, config: LeakConfig, item_id: str = "item_id", text: str = "text", question: str | None = None, answer: str | None = None) -> Iterator[Index]:
-    """An index for each slice of items."""
+def _items(items: DataFrame, config: LeakConfig, item_id: str, text: str, question: str | None, answer: str | None) -> DataFrame:
+    """Different items of the table in words, with the different words of each segment, one after another."""
     q = F.col(question or text).cast("string").alias("q")
     a = (F.col(answer).cast("string") if answer else F.lit(None).cast("string")).alias("a")
-    rows = items.select(F.col(item_id).cast("long").alias("item_id"), q, a)
-    parts = max(1, -(-rows.count() // config.slice_items))
-    for part in range(parts):
-        own = rows.where(F.pmod(F.xxhash64("item_id", "q"), F.lit(parts)) == part).collect()
-        split = [(r["item_id"], words_of(r["q"] or ""), words_of(r["a"] or "")) if answer else (r["item_id"], *split_item(r["q"] or "")) for r in own]
-        yield Index(split, config)
+    rows = items.select(F.col(item_id).cast("long").alias("item_id"), q, a).distinct().withColumn("part", F.xxhash64("q", "a"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "q", SLICE):
+            cols: list[list] = [[] for _ in range(7)]
+            for item, q, a, part in zip(*(batch.column(n).to_pylist() for n in ("item_id", "q", "a", "part")), strict=True):
+                split = (words_of(q or ""), words_of(a or "")) if answer else split_item(q or "")
+                own = list(segments_of(item, *split, config))
+                words = [w for s in own for w in sorted(set(s.question + s.answer))]
+                for c, x in zip(cols, (item, *split, words, len(own), sum(len(s.question) + len(s.answer) for s in own), part), strict=True):
+                    c.append(x)
+            text = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), text, text, text, pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in TOLD.split(", ")])
+
+    return rows.mapInArrow(run, TOLD).where("segments > 0")
+
+
+def indexes(items: DataFrame, config: LeakConfig, item_id: str = "item_id", text: str = "text", question: str | None = None, answer: str | None = None) -> Iterator[list[Index]]:
+    """The indexes of each scan. An item id is in one scan alone, so that it leaks once."""
+    told = materialise(_items(items, config, item_id, text, question, answer), "benchmark-items")
+    facts = told.agg(F.sum("segments").alias("n"), F.sum("length").alias("length")).first()
+    total = facts["n"] or 0
+    if not total:
+        yield [Index([], config)]
+        return
+    df = told.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    scans = -(-total // (config.slice_items * config.scan_slices))
+    if total > config.slice_items:
+        df = materialise(df, "benchmark-words")
+    for scan in range(scans):
+        here = told.where(F.pmod(F.xxhash64("item_id"), F.lit(scans)) == scan)
+        parts = max(1, -(-(here.agg(F.sum("segments")).first()[0] or 0) // config.slice_items))
+        made = []
+        for part in range(parts):
+            own = here.where(F.pmod("part", F.lit(parts)) == part)
+            words = own.select(F.explode("words").alias("word")).distinct().join(df, "word")
+            held = {r["word"]: r["df"] for r in words.collect()}  # words of a slice of bounded segments
+            rows = [(r["item_id"], r["question"], r["answer"]) for r in own.select("item_id", "question", "answer").collect()]
+            made.append(Index(rows, config, Counts(total, facts["length"] / total, held)))
+        yield made
+
+
+def _leaks(indexes: list[Index], texts: list[str]) -> list[list[tuple]]:
+    """The leaks of each text over all indexes of a scan."""
+    found = [index.leaks(texts) for index in indexes]
+    return found[0] if len(found) == 1 else [best_of([x for own in one for x in own]) for one in zip(*found, strict=True)]
 
 
 def leaks(df: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig(), doc_id: str = "doc_id", text: str = "text", **columns: str) -> DataFrame:
@@ -278,12 +350,13 @@ def leaks(df: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig(), do
     prepare(spark)
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = None
-    for index in indexes(items, config, **columns):
-        shared = spark.sparkContext.broadcast(index)
+    for scan in indexes(items, config, **columns):
+        shared = [spark.sparkContext.broadcast(index) for index in scan]
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = [x.value for x in shared]
             for batch in slices(batches, chars=SLICE):
-                rows = [(doc, *x) for doc, found in zip(batch.column(0).to_pylist(), shared.value.leaks(texts_of(batch)), strict=True) for x in found]
+                rows = [(doc, *x) for doc, found in zip(batch.column(0).to_pylist(), _leaks(own, texts_of(batch)), strict=True) for x in found]
                 cols = list(zip(*rows, strict=True)) or [()] * 7
                 types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word", "last_word"])
@@ -296,12 +369,13 @@ def leaks(df: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig(), do
 def without_leaks(df: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig(), text: str = "text", **columns: str) -> DataFrame:
     """The rows of df, all columns, into which no item leaked."""
     prepare(df.sparkSession)
-    for index in indexes(items, config, **columns):
-        shared = df.sparkSession.sparkContext.broadcast(index)
+    for scan in indexes(items, config, **columns):
+        shared = [df.sparkSession.sparkContext.broadcast(index) for index in scan]
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = [x.value for x in shared]
             for batch in slices(batches, text, SLICE):
-                yield batch.filter(pa.array([not x for x in shared.value.leaks(texts_of(batch, text))]))
+                yield batch.filter(pa.array([not x for x in _leaks(own, texts_of(batch, text))], pa.bool_()))
 
         df = df.mapInArrow(run, df.schema)
     return df

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, texts_of
+from .common import slices, texts_of
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -458,7 +458,6 @@ def shots(frames: list[np.ndarray] | np.ndarray, config: ShotConfig) -> tuple[li
 
 def store(df: DataFrame, config: ShotConfig = ShotConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and media: each text as an AVI."""
-    prepare(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -469,7 +468,6 @@ def store(df: DataFrame, config: ShotConfig = ShotConfig(), doc_id: str = "doc_i
 
 def clips(df: DataFrame, config: ShotConfig = ShotConfig(), doc_id: str = "doc_id", media: str = "media") -> DataFrame:
     """A row for each shot: doc_id, shot, first_frame, frames, start_s, end_s, change (difference at its start), error."""
-    prepare(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media"):
@@ -493,7 +491,6 @@ ROUND_TRIP = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 stri
 
 def round_trip(df: DataFrame, config: ShotConfig = ShotConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text stored as an AVI and read back from those bytes, with digests of both and its shots as a feature."""
-    prepare(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, chars=2 << 20):

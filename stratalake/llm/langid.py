@@ -5,12 +5,14 @@ feature's value is its share of the text's n-grams times its inverse document fr
 learned by follow-the-regularised-leader with elastic-net penalties (most stay exactly 0), then one temperature is
 fitted on held-back rows of the sample so that scores are calibrated.
 
-The classifier is fitted on a bounded sample of labelled rows (``sample``), chosen by hash of id and text; features
-are made on the executors, so texts never reach the driver. Every text is scored whole.
+The classifier is fitted on a bounded sample of labelled rows (``sample`` rows, ``sample_bytes`` of text, chosen by hash of
+id and text in a total order); features are made on the executors, so texts never reach the driver. Every text is
+scored whole; as counts of n-grams add up, a long one goes by parts, and the n-grams over each cut are put right.
 
 Defined results: a null or empty text, or one without a letter, is ``und`` with score 0; without labelled rows every
-text is ``und``; with one label every text with a letter gets it with score 1; repeated rows get equal results; rows
-with a null label or a null text are not learned from; other columns of the input are ignored.
+text is ``und``; with one label every text with a letter gets it with score 1; an empty table gives an empty result;
+repeated rows get equal results and are learned from once; a null id stays null; rows with a null label or a null text
+are not learned from; of languages with equal scores the first by name is taken; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, segments, slices, texts_of
+from .common import bounded, segments, slices, texts_of
 
 UND = "und"
 #: Characters at a time: a text of n characters takes about 60 n bytes of arrays.
@@ -34,7 +36,8 @@ SLICE = 1 << 20
 @dataclass(frozen=True)
 class LangConfig:
     bits: int = 18  #: of a feature's hash
-    sample: int = 4000  #: labelled rows learned from, about; the bound of the fit
+    sample: int = 4000  #: labelled rows learned from, at most; the bound of the fit
+    sample_bytes: int = 64 << 20  #: of the texts learned from, at most
     passes: int = 3
     alpha: float = 0.3  #: FTRL learning rate
     beta: float = 1.0
@@ -95,6 +98,47 @@ def features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return h, of, has
 
 
+def _edge(text: str, at: int, to: int) -> str:
+    """An end of text[:at] (to < 0) or start of text[at:to] with the two letters that n-grams over a cut can reach, or
+    all of it."""
+    size = 16
+    while True:
+        got = text[max(0, at - size) : at] if to < 0 else text[at : min(to, at + size)]
+        if len(got) < size or sum(map(str.isalpha, got)) >= 2:
+            return got
+        size *= 2
+
+
+def counted(texts: list[str], bits: int, chars: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashed n-grams of the texts by groups of about so many characters: hashes, the text of each, how often it counts
+    (1, or -1), and the letters as ``features`` tells them. A text AB has the n-grams of A and of B, and those that its
+    edges have together but not alone."""
+    parts: list[tuple[str, int, int]] = []
+    size = 0
+
+    def group() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        h, of, has = features([p[0] for p in parts], bits)
+        owner, sign = np.array([p[1] for p in parts], np.int32), np.array([p[2] for p in parts], np.int8)
+        letter = np.zeros(len(texts), bool)
+        letter[owner[has]] = True
+        return h, owner[of], sign[of], letter
+
+    for k, t in enumerate(texts):
+        cuts = range(0, max(1, len(t)), chars)
+        for at in cuts:
+            own = [(t[at : at + chars], 1)]
+            if at:
+                a, b = _edge(t, at, -1), _edge(t, at, at + chars)
+                own += [(a + b, 1), (a, -1), (b, -1)]
+            parts += [(x, k, sign) for x, sign in own]
+            size += sum(len(x) + 1 for x, _ in own)
+            if size >= chars:
+                yield group()
+                parts, size = [], 0
+    if parts:
+        yield group()
+
+
 @dataclass
 class LangModel:
     languages: list[str]
@@ -103,14 +147,27 @@ class LangModel:
     temperature: float
     bits: int
 
+    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the sum of its n-grams' weights and their number. Both add up over texts, but for the n-grams
+        across them."""
+        sums, totals, _ = self._sums(texts)
+        return sums, totals
+
+    def _sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sums, totals, has = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        for h, of, sign, letter in counted(texts, self.bits):
+            plain = len(sign) == 0 or sign.min() > 0
+            totals += np.bincount(of, None if plain else sign, len(texts))
+            has |= letter
+            for c in range(len(self.languages)):
+                w = self.weights[:, c][h]
+                sums[:, c] += np.bincount(of, w if plain else w * sign, len(texts))
+        return sums, totals, has
+
     def probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of probabilities, and whether each text has a letter."""
-        h, of, has = features(texts, self.bits)
-        logits = np.zeros((len(texts), len(self.languages)))
-        totals = np.bincount(of, minlength=len(texts))
-        for c in range(len(self.languages)):
-            logits[:, c] = np.bincount(of, self.weights[:, c][h], len(texts))
-        logits = (logits / np.maximum(totals, 1)[:, None] + self.bias) / self.temperature
+        sums, totals, has = self._sums(texts)
+        logits = (sums / np.maximum(totals, 1)[:, None] + self.bias) / self.temperature
         logits -= logits.max(1, keepdims=True)
         p = np.exp(logits)
         return p / p.sum(1, keepdims=True), has
@@ -179,27 +236,31 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], config: LangConfig) ->
 
 def fit(df: DataFrame, usable: Column, config: LangConfig = LangConfig(), text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> LangModel:
     """Learn from the rows of df where usable holds."""
-    prepare(df.sparkSession)
     labelled = df.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
     count = labelled.select(lang).count()
     if not count:
         return LangModel([], np.zeros((1, 0), np.float32), np.zeros(0), 1.0, config.bits)
-    rate = min(1.0, config.sample / count)
+    rate = min(1.0, 2 * config.sample / count)
     chosen = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(doc_id, text).alias("order"))
-    chosen = chosen.where(F.pmod("order", F.lit(1_000_003)) < rate * 1_000_003)
+    # the rate only thins what is ordered; the bound is that of rows and bytes
+    chosen = chosen.where(F.pmod("order", F.lit(1_000_003)) < rate * 1_000_003).withColumn("place", F.xxhash64("order")).withColumn("bytes", F.octet_length("text").cast("long"))
+    chosen = bounded(chosen, ["place", "order", "lang"], "bytes", config.sample, config.sample_bytes).select("text", "lang", "order")
     bits = config.bits
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, chars=SLICE):
-            h, of, has = features(texts_of(batch), bits)
-            ids, counts = [], []
-            cuts = np.searchsorted(np.sort(of), np.arange(len(has) + 1))
-            h = h[np.argsort(of, kind="stable")]
-            for k in range(len(has)):
-                u, c = np.unique(h[cuts[k] : cuts[k + 1]], return_counts=True)
-                ids.append(u.astype(np.uint32).tobytes())
-                counts.append(c.astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "order", "ids", "counts"])
+            held: list[dict[int, int]] = [{} for _ in range(batch.num_rows)]
+            for h, of, sign, _ in counted(texts_of(batch), bits):
+                order = np.argsort(of, kind="stable")
+                h, of, sign = h[order], of[order], sign[order]
+                for k in np.unique(of).tolist():
+                    at, to = np.searchsorted(of, [k, k + 1])
+                    u, own = np.unique(h[at:to], return_inverse=True)
+                    for x, n in zip(u.tolist(), np.bincount(own, sign[at:to]).astype(np.int64).tolist(), strict=True):
+                        held[k][x] = held[k].get(x, 0) + n
+            ids = [sorted(x for x, n in own.items() if n) for own in held]
+            counts = [np.array([own[x] for x in x_ids], np.uint32).tobytes() for own, x_ids in zip(held, ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([np.array(x, np.uint32).tobytes() for x in ids], pa.binary()), pa.array(counts, pa.binary())], names=["lang", "order", "ids", "counts"])
 
     got = chosen.mapInArrow(run, "lang string, order long, ids binary, counts binary").toArrow().to_pydict()
     rows = sorted(zip(got["order"], got["lang"], got["ids"], got["counts"], strict=True))
@@ -208,7 +269,6 @@ def fit(df: DataFrame, usable: Column, config: LangConfig = LangConfig(), text:
 
 def predict(df: DataFrame, model: LangModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of each row."""
-    prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,13 +281,12 @@ def predict(df: DataFrame, model: LangModel, doc_id: str = "doc_id", text: str =
 
 def keep_known(df: DataFrame, model: LangModel, least: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of df, all columns, whose text has a language with a score of at least ``least``."""
-    prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, SLICE):
             lang, score = shared.value.predict(texts_of(batch, text))
             keep = [x != UND and s >= least for x, s in zip(lang, score, strict=True)]
-            yield batch.filter(pa.array(keep))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, materialise, prepare, segments, slices, texts_of, words_of
+from .common import WordHash, materialise, segments, slices, texts_of, words_of
 
 U = np.uint64
 
@@ -132,7 +132,6 @@ def surviving_pairs(a: np.ndarray, b: np.ndarray, table: list[tuple[int, int]],
 
 def fingerprints(df: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, key (of the n-gram set, null without words), grams (their number), sig (16 low bits of each value), bands."""
-    prepare(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minhash = WordHash(config.seed), MinHasher(config)

@@ -1,16 +1,21 @@
 """Quality: a compression classifier.
 
-Two zstandard dictionaries are trained, one on texts labelled good and one on texts labelled bad. A text is compressed
-chunk by chunk with each; the normalised difference (bad - good) / (bad + good) of the summed sizes says which kind
-it resembles. As text that repeats itself compresses alike with any dictionary, the same difference is also taken
-between the text as it is and compressed whole without a dictionary, and the number of bytes compresses both. A
-logistic calibration on held-back rows turns these size differences into a score.
+Pairs of zstandard dictionaries are trained, one of a pair on texts labelled good and one on texts labelled bad, for
+each of three chunk sizes. A text is compressed chunk by chunk with each; the normalised difference (bad - good) /
+(bad + good) of the summed sizes says which kind it resembles. As text that repeats itself in place of saying something
+is short by any dictionary, its size as one piece, by the bad dictionary and what it said before, and its size as it is
+are set against that of its chunks by the good one in the same way. Nothing else of a text counts, least of all its
+length. A logistic calibration on held-back rows, piecewise linear in these differences, turns them into a score.
 
-The classifier is fitted on a bounded sample of labelled rows (``sample``). Texts are scored whole, in chunks.
+The classifier is fitted on a bounded sample of labelled rows (``sample`` rows, ``sample_bytes`` of text, chosen by hash
+in a total order), of which each dictionary is trained on at most ``learn_bytes``, its chunks taken evenly. Texts are
+scored whole, in chunks.
 
 Defined results: a null or empty text has differences of 0 and scores by the calibration there; without labels of
-both kinds every score is the share of good ones (0.5 without labels); repeated rows of documents score alike; of
-several labels of an id all count; null labels are not learned from; other columns are ignored.
+both kinds every score is the share of good ones (0.5 without labels); an empty table gives an empty result; repeated
+rows of documents score alike and are learned from once; of several labels of an id all count; rows with a null id or a
+null label are not learned from, and a null id stays null; a very long text costs time in proportion and memory for one
+copy; scores that tie the threshold of a query are on its upper side; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,58 +29,65 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, texts_of
+from .common import labelled_sample, slices, texts_of
 
 
 @dataclass(frozen=True)
 class QualityConfig:
-    dictionary: int = 96 << 10  #: bytes of each dictionary
-    chunk: int = 1024  #: bytes compressed at a time
+    dictionary: int = 64 << 10  #: bytes of each dictionary
+    chunks: tuple[int, ...] = (64, 160, 400)  #: bytes compressed at a time, for each pair of dictionaries
     level: int = 3
-    sample: int = 3000  #: labelled rows of each kind learned from, about; the bound of the fit
-    learn_bytes: int = 6 << 20  #: bytes that each dictionary is trained on, taken evenly from the sample's chunks
-    held_back: float = 0.4  #: of the sample, for the calibration
+    sample: int = 6000  #: labelled rows learned from, at most; the bound of the fit
+    sample_bytes: int = 32 << 20  #: of the texts learned from, at most
+    learn_bytes: int = 12 << 20  #: bytes that each dictionary is trained on, taken evenly from the sample's chunks
+    held_back: float = 0.25  #: of the sample, for the calibration
     seed: int = 13
 
 
 class Differences:
-    """Normalised compressed-size differences of texts."""
+    """Normalised compressed-size differences of texts, one for each chunk size, that of the text as one piece, and that of
+    the text as it is."""
 
-    def __init__(self, good: bytes, bad: bytes, config: QualityConfig):
+    def __init__(self, pairs: list[tuple[bytes, bytes]], config: QualityConfig):
         self.config = config
-        made = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (good, bad)]
-        for d in made:
-            d.precompute_compress(level=config.level)
         plain = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
         params = zstandard.ZstdCompressionParameters.from_level(config.level, **plain)
-        self.packers = [zstandard.ZstdCompressor(dict_data=d, compression_params=params) for d in made]
-        self.alone = zstandard.ZstdCompressor(compression_params=params)
+        self.packers = []
+        for pair in pairs:
+            made = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_AUTO) for d in pair]  # trained ones keep their entropy tables
+            for d in made:
+                d.precompute_compress(level=config.level)
+            self.packers.append([zstandard.ZstdCompressor(dict_data=d, compression_params=params) for d in made])
 
     def __call__(self, text: str) -> tuple[float, ...]:
-        raw, step = text.encode("utf-8", "replace"), self.config.chunk
+        raw = memoryview(text.encode("utf-8", "replace"))
         if not raw:
-            return (0.0,) * 4
-        parts = [raw[k : k + step] for k in range(0, len(raw), step)]
-        good, bad = (sum(len(p.compress(x)) for x in parts) for p in self.packers)
-        whole = len(self.alone.compress(raw))
-        return ((bad - good) / (bad + good), (len(raw) - whole) / (len(raw) + whole), (len(raw) - good) / (len(raw) + good), float(np.log(len(raw))))
+            return (0.0,) * (len(self.config.chunks) + 2)
+        out = []
+        for step, (good, bad) in zip(self.config.chunks, self.packers, strict=True):
+            g = b = 0
+            for k in range(0, len(raw), step):
+                part = raw[k : k + step]
+                g += len(good.compress(part))
+                b += len(bad.compress(part))
+            out.append((b - g) / (b + g))
+        whole = len(bad.compress(raw))
+        return (*out, (whole - g) / (whole + g), (len(raw) - g) / (len(raw) + g))
 
 
 def _basis(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
-    """Piecewise linear functions of each difference, and the first with the others' product."""
+    """Piecewise linear functions of each difference."""
     cols = [np.ones(len(x))]
     for k in range(x.shape[1]):
         cols.append(x[:, k])
         cols += [np.maximum(0.0, x[:, k] - q) for q in knots[k]]
-    cols += [x[:, 0] * x[:, k] for k in range(1, x.shape[1])]
     return np.stack(cols, 1)
 
 
 @dataclass
 class QualityModel:
     config: QualityConfig
-    good: bytes
-    bad: bytes
+    pairs: list[tuple[bytes, bytes]]
     knots: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
@@ -92,12 +104,12 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(_basis(x, self.knots) @ self.weights, -30, 30)))
 
     def differences(self) -> Differences | None:
-        return Differences(self.good, self.bad, self.config) if self.trained else None
+        return Differences(self.pairs, self.config) if self.trained else None
 
 
-def _dictionary(texts: list[str], config: QualityConfig) -> bytes:
+def _dictionary(texts: list[str], chunk: int, config: QualityConfig) -> bytes:
     """A trained dictionary, or for few texts their own end."""
-    parts = [raw[k : k + config.chunk] for t in texts for raw in [t.encode("utf-8", "replace")] for k in range(0, len(raw), config.chunk)]
+    parts = [raw[k : k + chunk] for t in texts for raw in [t.encode("utf-8", "replace")] for k in range(0, len(raw), chunk)]
     keep = max(1, -(-sum(map(len, parts)) // config.learn_bytes))
     parts = [p for p in parts[::keep] if len(p) >= 8]
     try:
@@ -111,14 +123,14 @@ def train(texts: list[str], labels: list[int], config: QualityConfig) -> Quality
     share = float(y.mean()) if len(y) else 0.5
     none = np.zeros(1)
     if not len(y) or y.min() == y.max():
-        return QualityModel(config, b"", b"", none, none, none, none, share, False)
+        return QualityModel(config, [], none, none, none, none, share, False)
     rng = np.random.default_rng(config.seed)
     order = rng.permutation(len(y))
     back, fit = order[: int(len(y) * config.held_back)], order[int(len(y) * config.held_back) :]
     if min(y[back].sum(), (1 - y[back]).sum(), y[fit].sum(), (1 - y[fit]).sum()) < 1:
         back = fit = order
-    good, bad = (_dictionary([texts[i] for i in fit if y[i] == k], config) for k in (1, 0))
-    differences = Differences(good, bad, config)
+    pairs = [tuple(_dictionary([texts[i] for i in fit if y[i] == k], chunk, config) for k in (1, 0)) for chunk in config.chunks]
+    differences = Differences(pairs, config)
     x = np.array([differences(texts[i]) for i in back])
     mean, scale = x.mean(0), x.std(0) + 1e-6
     x = (x - mean) / scale
@@ -133,28 +145,18 @@ def train(texts: list[str], labels: list[int], config: QualityConfig) -> Quality
         w = w - step
         if np.abs(step).max() < 1e-6:
             break
-    return QualityModel(config, good, bad, knots, mean, scale, w, share)
+    return QualityModel(config, pairs, knots, mean, scale, w, share)
 
 
 def fit(documents: DataFrame, labels: DataFrame, usable: Column, config: QualityConfig = QualityConfig(), label: str = "quality") -> QualityModel:
     """Learn from documents whose doc_id has a label and for which usable (of column doc_id) holds."""
-    prepare(documents.sparkSession)
-    told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(usable & F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
-    counts = {r["y"]: r["n"] for r in told.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return train([], [], config)
     # Both kinds at their own rate would move the base rate; the calibration needs it, so one rate holds for both.
-    rate = min(1.0, 2 * config.sample / sum(counts.values()))
-    told = told.where(F.pmod(F.xxhash64("doc_id", F.lit(config.seed)), F.lit(1_000_003)) < rate * 1_000_003).limit(4 * config.sample)  # a bound for ids that repeat
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    got = texts.join(F.broadcast(told), "doc_id").select("doc_id", "y", "text").toArrow().to_pydict()
-    rows = sorted(zip(got["doc_id"], got["y"], got["text"], strict=True))
-    return train([r[2] for r in rows], [r[1] for r in rows], config)
+    rows = labelled_sample(documents, labels, usable, label, config.sample, config.sample_bytes, config.seed)
+    return train([t for t, _ in rows], [y for _, y in rows], config)
 
 
 def score(df: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of each row."""
-    prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

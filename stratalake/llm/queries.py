@@ -22,12 +22,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from . import toxicity
+    from . import langid, toxicity
     from .common import held_out
 
     documents = _table(spark, sf_dir, "documents")
     held = held_out(F.col("doc_id"), 3, 1)
-    model = toxicity.fit(documents, _table(spark, sf_dir, "labels"), ~held)
+    model = toxicity.fit(documents, _table(spark, sf_dir, "labels"), ~held, languages=langid.fit(documents, ~held))
     return toxicity.score(documents, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

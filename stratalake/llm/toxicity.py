@@ -2,16 +2,19 @@
 
 A word's embedding is the mean of the embeddings of its hashed parts: the whole word and its prefixes of 3 to 7
 characters. Filters of several widths slide over the words, each filter's maximum over the whole text feeds a
-logistic output. Embeddings start with the shrunken log odds of their bucket in their first dimension, and everything
-is trained with Adagrad; as the maximum passes its gradient to one place alone, a step touches few embeddings.
+logistic output. All weights start at random and are trained together, filters and output by Adam, embeddings by
+Adagrad, as a step touches few of them; the pass with the least loss on held-back rows counts.
 
-Scores are calibrated by language: a text's language group is guessed from its own function words, the logit
-threshold of each group with enough positives is the one with the best F1 on held-back rows, and it maps to a score
-of ``at`` in that group. The classifier is fitted on a bounded sample of labelled rows (``sample``).
+Scores are calibrated by language: the character n-gram model of operator 6, learned from the same documents, tells a
+text's language by its words. The logit threshold of each language with enough positives is the one with the best F1 on
+held-back rows, that of all others the best over all, and it maps to a score of ``at``. The classifier is fitted on a
+bounded sample of labelled rows (``sample`` rows, ``sample_bytes`` of text, chosen by hash in a total order).
 
 Defined results: null and empty texts score as the output without any word, with maxima of 0; without labels of both
-kinds every score is 0; repeated rows of documents score alike; of several labels of an id all count; null labels
-are not learned from; other columns are ignored. Texts are scored whole.
+kinds every score is 0; an empty table gives an empty result; repeated rows of documents score alike and are learned
+from once; of several labels of an id all count; rows with a null id or a null label are not learned from, and a null id
+stays null; texts are scored whole, very long ones in blocks of words that overlap; a score of exactly ``at`` counts as
+toxic; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,16 +30,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, texts_of, words_of
+from . import langid
+from .common import labelled_sample, slices, texts_of, word_lists
 
-#: Common function words of each language group, for choosing a threshold only.
-FUNCTION_WORDS = {
-    "de": "der die und das ist nicht ein eine mit von zu den auf für im dem sich des er es",
-    "en": "the of and to in is that it for on was with as be by at this from are or",
-    "es": "de la que el en y los se del las un por con no una su para es al lo",
-    "fr": "de la le et les des en un du une que est pour qui dans pas sur au plus par",
-}
-GROUPS = ["other", *FUNCTION_WORDS]
+#: Words whose activations are in memory at once.
+BLOCK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -46,12 +44,17 @@ class ToxicConfig:
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 8  #: of each width
     prefixes: tuple[int, ...] = (3, 4, 5, 6, 7)
-    sample: int = 6000  #: labelled rows learned from, about; the bound of the fit
-    passes: int = 4
-    rate: float = 0.05
-    held_back: float = 0.25
+    sample: int = 6000  #: labelled rows learned from, at most; the bound of the fit
+    sample_bytes: int = 32 << 20  #: of the texts learned from, at most
+    passes: int = 8  #: at most, or so many that there are ``steps``
+    steps: int = 800
+    patience: int = 2  #: passes without a loss less by a twentieth, after which learning ends
+    batch: int = 32
+    rate: float = 0.01  #: of filters and output
+    word_rate: float = 0.3  #: of embeddings
+    held_back: float = 0.15
     at: float = 0.7  #: the score that a threshold maps to
-    least_positives: int = 15  #: of a group with its own threshold
+    least_positives: int = 15  #: of a language with its own threshold
     seed: int = 5
 
     @property
@@ -68,36 +71,44 @@ class _Numbers(dict):
 
 
 class Vocabulary:
-    """Numbers the words of a few texts and gives each one's hashed parts and language groups."""
+    """Numbers the words of a few texts and gives each one's hashed parts."""
 
     def __init__(self, config: ToxicConfig, limit: int = 300_000):
         self.config, self.limit = config, limit
         self.known: dict[str, bytes] = {}
-        self.groups = [set(FUNCTION_WORDS[g].split()) for g in GROUPS[1:]]
 
     def parts(self, word: str) -> bytes:
         mask = (1 << self.config.bits) - 1
         return struct.pack(f"<{self.config.parts}I", *(xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass"), k) & mask for k, p in enumerate([word, *(word[:n] for n in self.config.prefixes)])))
 
-    def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Word numbers of each text; parts of each number; language group of each text."""
+    def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, list[str]]:
+        """Word numbers of each text; parts of each number; the words."""
         number = _Numbers()
         ids = []
         for t in texts:  # a text's words are let go of before the next one's
-            words = words_of(t)
-            ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+            own = [np.fromiter(map(number.__getitem__, words), np.int32, len(words)) for words in word_lists(t)]
+            ids.append(own[0] if len(own) == 1 else np.concatenate(own))
         if len(self.known) > self.limit:
             self.known.clear()
         for w in number:
             if w not in self.known:
                 self.known[w] = self.parts(w)
         table = np.frombuffer(b"".join(map(self.known.__getitem__, number)), "<u4").reshape(-1, self.config.parts).astype(np.int32)
-        member = np.array([[w in g for g in self.groups] for w in number], bool).reshape(-1, len(self.groups))
-        group = []
-        for x in ids:
-            votes = member[x].sum(0)
-            group.append(int(votes.argmax()) + 1 if len(x) and votes.max() else 0)
-        return ids, table, np.array(group)
+        return ids, table, list(number)
+
+
+def languages_of(model: langid.LangModel | None, ids: list[np.ndarray], words: list[str]) -> np.ndarray:
+    """The number of each text's language by the n-grams of its words, -1 without one."""
+    if model is None or not model.languages or not words:
+        return np.full(len(ids), -1)
+    sums, totals = model.sums(words)
+    out = []
+    for x in ids:
+        n = np.bincount(x, minlength=1)
+        used = np.flatnonzero(n)
+        count = n[used] @ totals[used] if len(used) else 0.0
+        out.append(int((n[used] @ sums[used] / count + model.bias).argmax()) if count else -1)
+    return np.array(out, np.int64)
 
 
 @dataclass
@@ -108,43 +119,75 @@ class ToxicModel:
     bias: np.ndarray
     out: np.ndarray
     out_bias: float
+    languages: langid.LangModel | None = None
     thresholds: dict[int, float] = field(default_factory=dict)
     slope: float = 1.0
     trained: bool = True
 
-    def projected(self, table: np.ndarray) -> list[np.ndarray]:
+    def projected(self, words: np.ndarray) -> list[np.ndarray]:
         """Contribution of each word at each place of each filter, width by width."""
-        words = self.emb[table].mean(1)
-        return [np.stack([words @ c[k] for k in range(len(c))]) for c in self.conv]
-
-    def maxima(self, ids: np.ndarray, projected: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Largest activation of each filter in a text, and where its window starts (-1: nowhere above 0)."""
-        f = self.config.filters
-        best, where = np.zeros(f * len(self.conv), np.float32), np.full(f * len(self.conv), -1)
-        for k, p in enumerate(projected):
-            n = len(ids) - len(p) + 1
-            if n <= 0:
-                continue
-            act = p[0][ids[:n]]
-            for j in range(1, len(p)):
-                act = act + p[j][ids[j : j + n]]
-            at = act.argmax(0)
-            top = act[at, np.arange(f)] + self.bias[k * f : (k + 1) * f]
-            up = top > 0
-            best[k * f : (k + 1) * f][up] = top[up]
-            where[k * f : (k + 1) * f][up] = at[up]
-        return best, where
-
-    def logits(self, texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-        ids, table, group = vocabulary(texts)
-        projected = self.projected(table)
-        return np.array([float(self.maxima(x, projected)[0] @ self.out + self.out_bias) for x in ids]), group
+        weights = np.concatenate([c[j] for c in self.conv for j in range(len(c))], 1)
+        out = np.empty((len(words), weights.shape[1]), np.float32)
+        for at in range(0, len(words), 256):  # in products too small for threads, which would wait for each other
+            np.matmul(words[at : at + 256], weights, out=out[at : at + 256])
+        return np.split(out, weights.shape[1] // self.config.filters, 1)
+
+    def forward(self, ids: list[np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Largest activation of each filter in each text, at least 0; where its window starts in the texts one after
+        another (-1: nowhere above 0); these texts' words."""
+        f, n = self.config.filters, len(ids)
+        counts = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate(ids) if n else np.empty(0, np.int32)
+        ends, of, full = np.cumsum(counts), np.repeat(np.arange(n), counts), np.flatnonzero(counts)
+        best, where = np.zeros((n, f * len(self.conv)), np.float32), np.full((n, f * len(self.conv)), -1)
+        if not len(flat):
+            return best, where, flat
+        left = ends[of] - np.arange(len(flat))
+        # the contribution of each word at each place of each filter
+        parts = self.projected(words)
+        for k, c in enumerate(self.conv):
+            own, parts = parts[: len(c)], parts[len(c) :]
+            act = own[0][flat]
+            for j in range(1, len(c)):
+                act[: len(flat) - j] += own[j][flat[j:]]
+            act[left < len(c)] = -np.inf  # the window would leave the text
+            top = np.full((n, f), -np.inf, np.float32)
+            top[full] = np.maximum.reduceat(act, (ends - counts)[full], axis=0)
+            place, column = np.nonzero(act == top[of])
+            at = np.full((n, f), -1)
+            at[of[place][::-1], column[::-1]] = place[::-1]  # the first of equal ones
+            top += self.bias[k * f : (k + 1) * f]
+            best[:, k * f : (k + 1) * f] = np.maximum(top, 0)
+            where[:, k * f : (k + 1) * f] = np.where(top > 0, at, -1)
+        return best, where, flat
+
+    def logits(self, ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+        """Texts go by blocks of words; a long one's blocks overlap by a window, and their maxima are its own."""
+        words, over = self.emb[table].mean(1), max(self.config.widths) - 1
+        best = np.zeros((len(ids), len(self.out)), np.float32)
+        held, owner, size = [], [], 0
+
+        def flush() -> None:
+            if held:
+                np.maximum.at(best, np.array(owner), self.forward(held, words)[0])
+
+        for k, x in enumerate(ids):
+            for at in range(0, max(1, len(x) - over), BLOCK):
+                held.append(x[at : at + BLOCK + over])
+                owner.append(k)
+                size += len(held[-1])
+                if size >= BLOCK:
+                    flush()
+                    held, owner, size = [], [], 0
+        flush()
+        return best @ self.out + self.out_bias
 
     def scores(self, texts: list[str], vocabulary: Vocabulary) -> np.ndarray:
-        if not self.trained:
+        if not self.trained or not texts:
             return np.zeros(len(texts))
-        z, group = self.logits(texts, vocabulary)
-        threshold = np.array([self.thresholds.get(int(g), self.thresholds.get(-1, 0.0)) for g in group])
+        ids, table, words = vocabulary(texts)
+        z, language = self.logits(ids, table), languages_of(self.languages, ids, words)
+        threshold = np.array([self.thresholds.get(int(g), self.thresholds[-1]) for g in language])
         return 1 / (1 + np.exp(-np.clip(self.slope * (z - threshold) + math.log(self.config.at / (1 - self.config.at)), -30, 30)))
 
 
@@ -159,112 +202,116 @@ def _best_threshold(z: np.ndarray, y: np.ndarray) -> float:
     return float(z[best] - gap[best] * 0.5)
 
 
-def train(texts: list[str], labels: list[int], config: ToxicConfig) -> ToxicModel:
-    rng = np.random.default_rng(config.seed)
-    f, total = config.filters, config.filters * len(config.widths)
-    emb = rng.normal(0, 0.05, (1 << config.bits, config.size)).astype(np.float32)
-    conv = [rng.normal(0, 0.3, (w, config.size, f)).astype(np.float32) for w in config.widths]
-    model = ToxicModel(config, emb, conv, np.zeros(total, np.float32), np.full(total, 0.1, np.float32), 0.0)
+def start(config: ToxicConfig) -> ToxicModel:
+    """A network before training."""
+    rng, f = np.random.default_rng(config.seed), config.filters
+    total = f * len(config.widths)
+    emb = rng.normal(0, 0.3, (1 << config.bits, config.size)).astype(np.float32)
+    conv = [rng.normal(0, 1 / math.sqrt(w * config.size), (w, config.size, f)).astype(np.float32) for w in config.widths]
+    return ToxicModel(config, emb, conv, np.zeros(total, np.float32), rng.normal(0, 0.3, total).astype(np.float32), 0.0)
+
+
+class _Adam:
+    def __init__(self, params: list[np.ndarray], rate: float):
+        self.params, self.rate, self.steps = params, rate, 0
+        self.m, self.v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+
+    def step(self, gradients: list[np.ndarray]) -> None:
+        self.steps += 1
+        for p, g, m, v in zip(self.params, gradients, self.m, self.v, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= self.rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8)
+
+
+def _loss(z: np.ndarray, y: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(y == 1, -z, z)).mean())
+
+
+def learn(model: ToxicModel, ids: list[np.ndarray], table: np.ndarray, y: np.ndarray, fit: np.ndarray, back: np.ndarray) -> ToxicModel:
+    """The network of the pass with the least loss on the held-back rows (on all rows without any)."""
+    config, rng = model.config, np.random.default_rng(model.config.seed + 1)
+    f, bias = config.filters, np.array([model.out_bias], np.float32)
+    adam = _Adam([model.bias, model.out, bias, *model.conv], config.rate)
+    seen = np.full(1 << config.bits, 1e-4)
+    judged = back if len(back) else fit
+
+    def copy() -> tuple:
+        return model.emb.copy(), [c.copy() for c in model.conv], model.bias.copy(), model.out.copy(), float(bias[0])
+
+    best, waited = None, 0
+    for _ in range(max(config.passes, -(-config.steps * config.batch // len(fit))) if config.passes else 0):
+        shuffled = rng.permutation(fit)
+        for at in range(0, len(shuffled), config.batch):
+            some = shuffled[at : at + config.batch]
+            used, local = np.unique(np.concatenate([ids[i] for i in some]), return_inverse=True)
+            words = model.emb[table[used]].mean(1)
+            top, where, flat = model.forward(np.split(local, np.cumsum([len(ids[i]) for i in some])[:-1]), words)
+            z = top @ model.out + bias[0]
+            error = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) / len(some)).astype(np.float32)
+            down = error[:, None] * model.out
+            down[where < 0] = 0
+            d_words, d_conv = np.zeros_like(words), [np.zeros_like(c) for c in model.conv]
+            for k, c in enumerate(model.conv):
+                text, own = np.nonzero(where[:, k * f : (k + 1) * f] >= 0)
+                d, place = down[text, k * f + own][:, None], where[text, k * f + own]
+                for j in range(len(c)):
+                    w = flat[place + j]
+                    np.add.at(d_conv[k][j].T, own, d * words[w])
+                    np.add.at(d_words, w, d * c[j].T[own])
+            adam.step([down.sum(0), top.T @ error, np.array([error.sum()]), *d_conv])
+            touched = np.flatnonzero(np.abs(d_words).sum(1))
+            parts, own = np.unique(table[used[touched]], return_inverse=True)
+            own, d = own.ravel(), np.repeat(d_words[touched] / config.parts, config.parts, 0)
+            d = np.stack([np.bincount(own, d[:, j], len(parts)) for j in range(config.size)], 1)
+            seen[parts] += (d * d).mean(1)
+            model.emb[parts] -= (config.word_rate * d / np.sqrt(seen[parts])[:, None]).astype(np.float32)
+        model.out_bias = float(bias[0])
+        loss = _loss(model.logits([ids[i] for i in judged], table), y[judged])
+        waited = 0 if best is None or loss < 0.95 * best[0] else waited + 1
+        if best is None or loss < best[0]:
+            best = (loss, copy())
+        if loss < 1e-3 or waited > config.patience:
+            break
+    if best:
+        model.emb, model.conv, model.bias, model.out, model.out_bias = best[1]
+    return model
+
+
+def train(texts: list[str], labels: list[int], config: ToxicConfig, languages: langid.LangModel | None = None) -> ToxicModel:
+    model = start(config)
+    model.languages = languages
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         model.trained = False
         return model
-    order = rng.permutation(len(y))
+    order = np.random.default_rng(config.seed).permutation(len(y))
     back, fit = order[: int(len(y) * config.held_back)], order[int(len(y) * config.held_back) :]
     if y[fit].min() == y[fit].max():
         back, fit = order[:0], order
-    vocabulary = Vocabulary(config, limit=1 << 30)
-    ids, table, group = vocabulary(texts)
-
-    # Log odds of each bucket by the texts it is in, shrunk for rare ones.
-    counts = np.zeros((2, 1 << config.bits))
-    for i in fit:
-        counts[int(y[i])][np.unique(table[np.unique(ids[i])])] += 1
-    pos, neg = max(1.0, y[fit].sum()), max(1.0, (1 - y[fit]).sum())
-    seen = counts.sum(0)
-    odds = np.log((counts[1] / pos + 1 / (pos + neg)) / (counts[0] / neg + 1 / (pos + neg))) * seen / (seen + 8.0)
-    emb[:, 0] = odds
-    for k, w in enumerate(config.widths):
-        for j in range(w):
-            conv[k][j, 0, : f // 2] = 1.0
-    model.out_bias = float(np.log(pos / neg))
-
-    g_emb = np.full(1 << config.bits, 0.1, np.float64)
-    g_conv = [np.full_like(c, 0.1) for c in conv]
-    g_bias, g_out, g_ob = np.full(total, 0.1), np.full(total, 0.1), 0.1
-    batch = 64
-    for _ in range(config.passes):
-        shuffled = rng.permutation(fit)
-        for at in range(0, len(shuffled), batch):
-            some = shuffled[at : at + batch]
-            used, back_ids = np.unique(np.concatenate([ids[i] for i in some] or [np.empty(0, np.int64)]), return_inverse=True)
-            words = emb[table[used]].mean(1)
-            projected = [np.stack([words @ c[k] for k in range(len(c))]) for c in conv]
-            d_words, d_conv, d_bias, d_out, d_ob = np.zeros_like(words), [np.zeros_like(c) for c in conv], np.zeros(total), np.zeros(total), 0.0
-            start = 0
-            for i in some:
-                local = back_ids[start : start + len(ids[i])]
-                start += len(ids[i])
-                top, where = model.maxima(local, projected)
-                err = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(top @ model.out) + model.out_bias)))) - y[i]
-                d_out += err * top
-                d_ob += err
-                down = err * model.out
-                for q in np.flatnonzero(where >= 0):
-                    k, fi = divmod(int(q), f)
-                    d_bias[q] += down[q]
-                    for j in range(config.widths[k]):
-                        w = local[where[q] + j]
-                        d_conv[k][j, :, fi] += down[q] * words[w]
-                        d_words[w] += down[q] * conv[k][j, :, fi]
-            n = len(some)
-            touched = np.flatnonzero(np.abs(d_words).sum(1))
-            if len(touched):
-                parts = table[used[touched]]
-                d = np.repeat(d_words[touched] / (n * config.parts), config.parts, 0)
-                np.add.at(g_emb, parts.ravel(), (d * d).mean(1))
-                np.add.at(emb, parts.ravel(), -config.rate * d / np.sqrt(g_emb[parts.ravel()])[:, None])
-            for k in range(len(conv)):
-                d = d_conv[k] / n
-                g_conv[k] += d * d
-                conv[k] -= config.rate * d / np.sqrt(g_conv[k])
-            g_bias += (d_bias / n) ** 2
-            model.bias -= (config.rate * d_bias / n / np.sqrt(g_bias)).astype(np.float32)
-            g_out += (d_out / n) ** 2
-            model.out -= (config.rate * d_out / n / np.sqrt(g_out)).astype(np.float32)
-            g_ob += (d_ob / n) ** 2
-            model.out_bias -= config.rate * d_ob / n / math.sqrt(g_ob)
-
+    model.out_bias = float(np.log(max(1.0, y[fit].sum()) / max(1.0, (1 - y[fit]).sum())))
+    ids, table, words = Vocabulary(config, limit=1 << 30)(texts)
+    learn(model, ids, table, y, fit, back)
     judged = back if len(back) and y[back].min() < y[back].max() else fit
-    projected = model.projected(table)
-    z = np.array([float(model.maxima(ids[i], projected)[0] @ model.out + model.out_bias) for i in judged])
-    own, yj = group[judged], y[judged]
+    z, yj = model.logits([ids[i] for i in judged], table), y[judged]
+    own = languages_of(languages, [ids[i] for i in judged], words)
     model.thresholds[-1] = _best_threshold(z, yj)
-    for g in range(len(GROUPS)):
+    for g in range(len(languages.languages) if languages else 0):
         mine = own == g
         if yj[mine].sum() >= config.least_positives and (1 - yj[mine]).sum() >= config.least_positives:
             model.thresholds[g] = _best_threshold(z[mine], yj[mine])
     return model
 
 
-def fit(documents: DataFrame, labels: DataFrame, usable: Column, config: ToxicConfig = ToxicConfig(), label: str = "toxic") -> ToxicModel:
-    """Learn from documents whose doc_id has a label and for which usable (of column doc_id) holds."""
-    prepare(documents.sparkSession)
-    told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(usable & F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
-    count = told.count()
-    if not count:
-        return train([], [], config)
-    rate = min(1.0, config.sample / count)
-    told = told.where(F.pmod(F.xxhash64("doc_id", F.lit(config.seed)), F.lit(1_000_003)) < rate * 1_000_003).limit(2 * config.sample)  # a bound for ids that repeat
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    got = texts.join(F.broadcast(told), "doc_id").select("doc_id", "y", "text").toArrow().to_pydict()
-    rows = sorted(zip(got["doc_id"], got["y"], got["text"], strict=True))
-    return train([r[2] for r in rows], [r[1] for r in rows], config)
+def fit(documents: DataFrame, labels: DataFrame, usable: Column, config: ToxicConfig = ToxicConfig(), label: str = "toxic", languages: langid.LangModel | None = None) -> ToxicModel:
+    """Learn from documents whose doc_id has a label and for which usable (of column doc_id) holds. Without languages one
+    threshold is for all texts."""
+    rows = labelled_sample(documents, labels, usable, label, config.sample, config.sample_bytes, config.seed)
+    return train([t for t, _ in rows], [y for _, y in rows], config, languages)
 
 
 def score(df: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of each row."""
-    prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,12 +324,11 @@ def score(df: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str =
 
 def keep_clean(df: DataFrame, model: ToxicModel, text: str = "text") -> DataFrame:
     """The rows of df, all columns, with a score below the threshold."""
-    prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(shared.value.config)
         for batch in slices(batches, text):
-            yield batch.filter(pa.array(shared.value.scores(texts_of(batch, text), vocabulary) < shared.value.config.at))
+            yield batch.filter(pa.array(shared.value.scores(texts_of(batch, text), vocabulary) < shared.value.config.at, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -17,9 +17,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise, remove, scratch, shared_dir
+from ..session import discard, materialise, remove, scratch, shared_dir
 
-__all__ = ["SLICE_CHARS", "WordHash", "bounded", "held_out", "labelled_sample", "materialise", "remove", "scratch", "segments", "shared_dir", "slices", "texts_of", "word_lists", "words_of"]
+__all__ = ["SLICE_CHARS", "WordHash", "bounded", "discard", "held_out", "labelled_sample", "materialise", "remove", "scratch", "segments", "shared_dir", "slices", "texts_of", "word_lists", "words_of"]
 
 WORD = re.compile(r"\w+")
 NO_WORD = re.compile(r"\W")

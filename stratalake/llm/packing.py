@@ -3,17 +3,22 @@
 Documents become token pieces of at most ``capacity`` tokens, and the pieces are packed into as few sequences as
 possible. Full pieces are sequences of their own. The rest is dealt by hash into blocks of bounded size; on each
 block several islands evolve populations of packings independently, and after each epoch every island's elite moves
-to the next island through a shuffle. A crossover injects whole well-filled bins of one parent into the other,
-dissolves the bins that then hold a document twice, and best-fits the displaced documents. Bins that stay badly
-filled are dissolved, their pieces dealt into fewer blocks and packed again, until they fit one block.
-
-Defined results: a null or empty text has the end token alone (one piece of length 1); repeated rows are packed
-once each; a null id stays null; an empty table gives an empty result; ties are broken by id, piece and row number,
-so the same table gives the same packing; other columns of the input are ignored.
+to the next island through a shuffle. The first island starts from best fit of falling sizes, the others from weaker
+packings of shuffled sizes. A crossover injects whole well-filled bins of one parent into the other, dissolves the bins
+that then hold a document twice, lets displaced documents take the place of smaller ones where they fill a bin better,
+and best-fits the rest. An island ends when no packing can have fewer bins, which best fit often reaches by itself;
+``evolution_report`` tells what the evolution saved. Bins that stay badly filled are dissolved, their pieces dealt into
+fewer blocks and packed again, until they fit one block.
+
+Defined results: a null or empty text has the end token alone (one piece of length 1); a very long one is cut into
+pieces; repeated rows are packed once each; a null id stays null; an empty table gives an empty result; ties are broken by id, piece and row number.
+Rows are numbered and dealt by where they lie, so that a hot id is spread: the same files, split in the same way, give
+the same packing, and another split another one. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 import zlib
@@ -27,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, texts_of
+from .common import discard, materialise, slices, texts_of
 
 #: A character that stands between chunks, and what keeps a text from being encoded by chunks: this character, and white space for str.split alone.
 MARK = "\x07"
@@ -203,8 +208,32 @@ def _assignment(b: Bins, n: int) -> np.ndarray:
     return of
 
 
-def crossover(a: Bins, b: Bins, sizes: list[int], rng: random.Random) -> Bins:
-    """Inject about half of b's best-filled bins into a, drop a's bins that share a document with them, best-fit the rest."""
+def replace_smaller(items: list[int], room: int, loose: list[tuple[int, int]], sizes: list[int]) -> int:
+    """Let loose pieces (sorted pairs of size and number) take the place of one or two smaller ones of a bin, where that
+    fills it better. Returns the room that is left; items and loose are changed."""
+    while room:
+        best = (0, 0, ())
+        for x in range(len(items)):
+            for own in [(x,), *((x, y) for y in range(x))]:
+                held = sum(sizes[items[k]] for k in own)
+                at = bisect.bisect_right(loose, (held + room, len(sizes))) - 1
+                if at >= 0 and loose[at][0] - held > best[0]:
+                    best = (loose[at][0] - held, at, own)
+        gain, at, own = best
+        if not gain:
+            break
+        _, new = loose.pop(at)
+        for k in own:
+            bisect.insort(loose, (sizes[items[k]], items[k]))
+        items[:] = [i for k, i in enumerate(items) if k not in own] + [new]
+        room -= gain
+    return room
+
+
+def crossover(a: Bins, b: Bins, sizes: list[int], rng: random.Random, swaps: int = 24) -> Bins:
+    """Inject about half of b's best-filled bins into a, drop a's bins that share a document with them, let the displaced
+    documents replace smaller ones in bins of a few documents, and best-fit the rest. swaps: the most documents of a bin
+    that are tried."""
     full = sorted(range(len(b.items)), key=lambda k: b.room[k])[: max(1, len(b.items) * 2 // 3)]
     chosen = [k for k in full if rng.random() < 0.5] or full[:1]
     child, taken = Bins(a.cap), bytearray(len(sizes))
@@ -212,14 +241,18 @@ def crossover(a: Bins, b: Bins, sizes: list[int], rng: random.Random) -> Bins:
         child.add(list(b.items[k]), a.cap - b.room[k])
         for i in b.items[k]:
             taken[i] = 1
-    displaced = []
+    displaced, kept = [], []
     for items, room in zip(a.items, a.room, strict=True):
         if any(taken[i] for i in items):
             displaced += [i for i in items if not taken[i]]
         else:
-            child.add(list(items), a.cap - room)
-    displaced.sort(key=lambda i: (-sizes[i], i))
-    child.best_fit(displaced, sizes)
+            kept.append((list(items), room))
+    loose = sorted((sizes[i], i) for i in displaced)
+    for items, room in kept:
+        if room and len(items) <= swaps and loose:
+            room = replace_smaller(items, room, loose, sizes)
+        child.add(items, a.cap - room)
+    child.best_fit([i for _, i in sorted(loose, key=lambda x: (-x[0], x[1]))], sizes)
     return child
 
 
@@ -238,17 +271,24 @@ def mutate(a: Bins, sizes: list[int], rng: random.Random) -> Bins:
     return out
 
 
-def evolve(sizes: list[int], elites: list[np.ndarray], config: PackConfig, seed: int) -> Bins:
-    """The best packing of an island after an epoch; stops as soon as no packing can have fewer bins."""
+def best_fit_decreasing(sizes: list[int], cap: int) -> Bins:
+    out = Bins(cap)
+    out.best_fit(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes)
+    return out
+
+
+def evolve(sizes: list[int], elites: list[np.ndarray], config: PackConfig, seed: int, island: int = 0) -> Bins:
+    """The best packing of an island after an epoch; stops as soon as no packing can have fewer bins. Only the first
+    island starts from best fit of falling sizes."""
     cap, rng, n = config.capacity, random.Random(seed), len(sizes)
     least = -(-sum(sizes) // cap)
     people = [_from_assignment(e, sizes, cap) for e in elites]
-    first = Bins(cap)
-    first.best_fit(sorted(range(n), key=lambda i: (-sizes[i], i)), sizes)
-    people.append(first)
-    best = max(people, key=_fitness)
+    first = best_fit_decreasing(sizes, cap)
+    best = max([*people, first], key=_fitness)
     if len(best.items) <= least:
         return best
+    if not island and not people:
+        people.append(first)
     while len(people) < config.population:
         other = Bins(cap)
         other.best_fit(sorted(range(n), key=lambda i: (-sizes[i] * (0.7 + 0.6 * rng.random()), i)), sizes)
@@ -279,7 +319,7 @@ def _pack_blocks(blocks: DataFrame, config: PackConfig) -> DataFrame:
                 for r in frame.itertuples(index=False):
                     sizes = np.frombuffer(r.lengths, np.int32).tolist()
                     elites = [np.frombuffer(e, np.int32) for e in sorted(r.elites)] if r.elites is not None else []
-                    best = evolve(sizes, elites, config, hash((config.seed, number, int(r.block), int(r.island))))
+                    best = evolve(sizes, elites, config, hash((config.seed, number, int(r.block), int(r.island))), int(r.island))
                     fit = _fitness(best)
                     rows.append((r.block, r.island, r.lengths, _assignment(best, len(sizes)).tobytes(), -fit[0], fit[1]))
                 yield pd.DataFrame(rows, columns=["block", "island", "lengths", "best", "bins", "fill"])
@@ -301,10 +341,36 @@ def _pack_blocks(blocks: DataFrame, config: PackConfig) -> DataFrame:
         else:
             state = state.repartition(width, "block", "island")
         done = state.select("block", "island", "lengths", "elites").mapInPandas(epoch(e), BLOCK)
-    pick = done.groupBy("block").agg(F.min_by("best", F.struct("bins", -F.col("fill"), "island")).alias("best"))
+    order = F.struct("bins", -F.col("fill"), "island")
+    pick = done.groupBy("block").agg(F.min_by("best", order).alias("best"), F.min("bins").alias("bins"))
     return blocks.join(pick, "block")
 
 
+def _blocks(pieces: DataFrame, count: int, config: PackConfig, number: int) -> tuple[DataFrame, int]:
+    """block and items (sorted) of the pieces of a round, and the number of blocks."""
+    n_blocks = max(1, round(count / config.block_items))
+    item = F.struct((-F.col("length")).alias("order"), "doc_id", "piece", "uid", "start", "length", "ids_crc32")
+    block = F.pmod(F.xxhash64("uid", F.lit(config.seed + number)), F.lit(n_blocks)).alias("block")
+    return materialise(pieces.groupBy(block).agg(F.sort_array(F.collect_list(item)).alias("items")), "pack-blocks"), n_blocks
+
+
+def evolution_report(pieces: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
+    """For each block of the first round: block, pieces, least (no packing has fewer sequences), best_fit (of falling
+    sizes) and evolved, the numbers of sequences."""
+    todo = pieces.where(F.col("length") < config.capacity)
+    blocks, _ = _blocks(todo, todo.count(), config, 0)
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                sizes = [x["length"] for x in r.items]
+                rows.append((r.block, len(sizes), -(-sum(sizes) // config.capacity), len(best_fit_decreasing(sizes, config.capacity).items), r.bins))
+            yield pd.DataFrame(rows, columns=["block", "pieces", "least", "best_fit", "evolved"])
+
+    return _pack_blocks(blocks, config).select("block", "items", "bins").mapInPandas(run, "block long, pieces long, least long, best_fit long, evolved long")
+
+
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long, sequence_id long, offset long, filled long"
 
 
@@ -318,9 +384,7 @@ def pack(pieces: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
     for number in range(config.rounds):
         if not count:
             break
-        n_blocks = max(1, round(count / config.block_items))
-        item = F.struct((-F.col("length")).alias("order"), "doc_id", "piece", "uid", "start", "length", "ids_crc32")
-        blocks = todo.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(config.seed + number)), F.lit(n_blocks))).groupBy("block").agg(F.sort_array(F.collect_list(item)).alias("items"))
+        blocks, n_blocks = _blocks(todo, count, config, number)
         base = (1 << 62) + (number << 58)
 
         def place(frames: Iterable[pd.DataFrame], base: int = base) -> Iterator[pd.DataFrame]:
@@ -338,13 +402,13 @@ def pack(pieces: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
                     made["doc_id"] = pd.array(made["doc_id"], "Int64")
                     yield pd.DataFrame(made | {"sequence_id": base + (int(r.block) << 24) + of.astype(np.int64), "offset": offset, "filled": filled[of]})
 
-        blocks = materialise(blocks, "pack-blocks")
         placed = materialise(_pack_blocks(blocks, config).select("block", "items", "best").mapInPandas(place, PLACED), "pack-placed")
         last = n_blocks == 1 or number == config.rounds - 1
         keep = F.lit(True) if last else F.col("filled") >= int(config.well_filled * cap)
         out = out.unionByName(placed.where(keep).drop("filled"))
         if last:
             break
+        discard(blocks)
         todo = placed.where(~keep).select(*pieces.columns)
         count = todo.count()
     return out

@@ -92,15 +92,47 @@ def test_crossover_keeps_every_document_once():
         assert all(sum(sizes[i] for i in b) == 128 - r and r >= 0 for b, r in zip(child.items, child.room, strict=True))
 
 
-def test_evolution_beats_its_start_where_it_can():
-    rng = random.Random(4)
-    sizes = []
-    for _ in range(40):  # triples that fill a bin exactly
+def triples(seed, n=40, cap=1000):
+    """Sizes that fill n bins exactly, three to a bin: hard for best fit."""
+    rng, sizes = random.Random(seed), []
+    for _ in range(n):
         a = rng.randrange(380, 490)
-        b = rng.randrange(250, 1000 - a - 250)
-        sizes += [a, b, 1000 - a - b]
-    first = K.Bins(1000)
-    first.best_fit(sorted(range(120), key=lambda i: -sizes[i]), sizes)
-    config = K.PackConfig(capacity=1000, population=10, generations=300)
-    best = K.evolve(sizes, [K._assignment(first, 120)], config, 1)
-    assert 40 <= len(best.items) <= len(first.items)
+        b = rng.randrange(250, cap - a - 250)
+        sizes += [a, b, cap - a - b]
+    return sizes
+
+
+def test_evolution_beats_best_fit():
+    saved = []
+    for seed in range(4):
+        sizes = triples(seed)
+        first = K.best_fit_decreasing(sizes, 1000)
+        best = K.evolve(sizes, [], K.PackConfig(capacity=1000, population=10, generations=150), seed)
+        assert sorted(i for b in best.items for i in b) == list(range(120)) and len(best.items) >= 40
+        saved.append(len(first.items) - len(best.items))
+    assert min(saved) >= 1 and sum(saved) >= 6
+
+
+def test_islands_save_sequences(spark):
+    """The whole operator on hard blocks: fewer sequences than best fit, by its report and in its result."""
+    sizes = [s for seed in range(3) for s in triples(seed)]
+    rows = [(k, 0, 0, s, 0, k) for k, s in enumerate(sizes)]
+    pieces = spark.createDataFrame(rows, K.PIECE)
+    config = K.PackConfig(capacity=1000, block_items=1000, population=8, generations=40, epochs=3)
+    report = K.evolution_report(pieces, config).collect()
+    assert [r["pieces"] for r in report] == [360]
+    assert report[0]["least"] == 120 <= report[0]["evolved"] < report[0]["best_fit"]
+    placed = K.pack(pieces, config).collect()
+    assert len({r["sequence_id"] for r in placed}) == report[0]["evolved"] and len(placed) == 360
+
+
+def test_replacing_keeps_documents():
+    rng = random.Random(9)
+    for _ in range(200):
+        sizes = [rng.randrange(1, 60) for _ in range(14)]
+        items, loose = list(range(4)), sorted((sizes[i], i) for i in range(4, 14))
+        room = rng.randrange(0, 30)
+        cap = sum(sizes[i] for i in items) + room
+        left = K.replace_smaller(items, room, loose, sizes)
+        assert sorted([*items, *(i for _, i in loose)]) == list(range(14)) and loose == sorted(loose)
+        assert left == cap - sum(sizes[i] for i in items) and 0 <= left <= room

@@ -3,9 +3,12 @@
 Texts with the same set of word n-grams are one class of copies. MinHash values of each class are cut into bands;
 classes that agree in a band are candidates. Pairs of candidates compare their MinHash values a few at a time: with m
 of n values equal and a uniform prior, a pair is dropped once the posterior probability of a similarity of at least
-the threshold is below the tolerance. What remains joins into candidate components, and inside each of these, in
-blocks of bounded size, the pairs that survive the same pruning are verified exactly on their n-gram sets. Only
-counts and spanning links leave a block, never all pairs.
+the threshold is below the tolerance. What remains joins into candidate components, whose pairs that survive the same
+pruning are verified exactly on their n-gram sets: a small component as one group, a larger one cut into blocks of
+bounded rows and n-grams, each pair of blocks a group. Where a component is a long chain rather than a cluster, so that
+its blocks would be copied more often than those of its buckets, its buckets are the groups instead, and a pair counts in
+the first one that it shares. Which is cheaper is counted exactly beforehand. Only counts and spanning links leave a
+group, never all pairs.
 
 At the defaults a pair at the threshold shares no band with probability (1 - 0.8^5)^32 = 3e-6, and pruning loses one
 with less than 1e-6; pairs above it less.
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, materialise, segments, slices, texts_of, words_of
+from .common import WordHash, discard, materialise, segments, slices, texts_of, words_of
 
 U = np.uint64
 
@@ -42,6 +45,7 @@ class JoinConfig:
     step: int = 16  #: MinHash values compared at a time
     bucket: int = 512  #: classes of a bucket whose pairs are pruned there; a larger bucket links up whole, its pairs are pruned in blocks
     block_grams: int = 1_000_000  #: n-grams of a block, about
+    block_rows: int = 512  #: classes of a block, about
     seed: int = 11
 
 
@@ -194,7 +198,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternating large and small stars; each round is a table in the shared folder, nothing comes to the driver but a
     count of changes.
     """
-    now = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = now = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(most_rounds):
         # large star: every larger neighbour of a joins the least of a's neighbourhood
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -211,17 +215,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if stars.where("n > 1").isEmpty() and small.join(roots.withColumnRenamed("b", "a"), "a", "left_semi").isEmpty():
             now = small
             break
-        now = small
+        discard(before, least, large)
+        before = now = small
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def _candidate_edges(classes: DataFrame, config: JoinConfig, width: int) -> DataFrame:
-    """Spanning links (a, b) of the pairs in each bucket that are not dropped."""
-    table = least_matches(config)
+def _shared_buckets(classes: DataFrame, config: JoinConfig, width: int) -> DataFrame:
+    """bucket, key, band of the classes in buckets that have more than one."""
     banded = classes.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(config.bands - 1)), lambda i: F.substring("bands", i * 8 + 1, F.lit(8)))).alias("band", "value"))
-    banded = banded.select(F.xxhash64("band", "value").alias("bucket"), "key")
+    banded = banded.select(F.xxhash64("band", "value").alias("bucket"), "key", F.col("band").cast("byte").alias("band"))
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of buckets with more than one class."""
@@ -244,8 +248,13 @@ def _candidate_edges(classes: DataFrame, config: JoinConfig, width: int) -> Data
         if held is not None and shares:
             yield held
 
-    many = banded.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, "bucket long, key binary")
-    with_sig = materialise(many, "buckets").join(classes.select("key", "sig"), "key").select("bucket", "key", "sig")
+    return banded.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, "bucket long, key binary, band byte")
+
+
+def _candidate_edges(classes: DataFrame, buckets: DataFrame, config: JoinConfig, width: int) -> DataFrame:
+    """Spanning links (a, b) of the pairs in each bucket that are not dropped."""
+    table = least_matches(config)
+    with_sig = buckets.select("bucket", "key").join(classes.select("key", "sig"), "key").select("bucket", "key", "sig")
 
     def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a: list[bytes] = []
@@ -270,14 +279,19 @@ def _candidate_edges(classes: DataFrame, config: JoinConfig, width: int) -> Data
     return with_sig.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(link, "a binary, b binary")
 
 
-def _verify(members: DataFrame, config: JoinConfig, width: int) -> DataFrame:
-    """members: root, cuts, key, copies, sig, set (packed n-gram hashes). Returns a (key), b (a key linked to it through any
-    number of links), links and class_links (partial counts for a)."""
+def _dealt(rows: DataFrame, home: str, cuts: str, config: JoinConfig) -> DataFrame:
+    """rows (home, cuts, key, copies, sig, set, band, bands) in groups: each home is cut into blocks, and each pair of
+    blocks is one group, so a class is read once for each block."""
+    own = F.pmod(F.xxhash64("key", F.lit(config.seed)), F.col(cuts)).cast("int")
+    rows = rows.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col(cuts) - 1)).alias("other"))
+    group = F.xxhash64(home, "band", F.least("own", "other"), F.greatest("own", "other"))
+    return rows.select(group.alias("group"), "key", "copies", F.col("own").alias("side"), (F.col("own") == F.col("other")).alias("diagonal"), "sig", "set", "band", "bands")
+
+
+def _verify(dealt: DataFrame, config: JoinConfig, width: int) -> DataFrame:
+    """dealt: group, key, copies, side, diagonal, sig, set (packed n-gram hashes), band (-1, or that of the bucket), bands.
+    Returns a (key), b (a key linked to it through any number of links), links and class_links (partial counts for a)."""
     table = least_matches(config)
-    # A component is cut into blocks; each pair of blocks is one group, so a class is read once for each block.
-    cut = members.withColumn("own", F.pmod(F.xxhash64("key", F.lit(config.seed)), F.col("cuts")).cast("int"))
-    dealt = cut.select("root", "key", "copies", "sig", "set", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
-    dealt = dealt.withColumn("group", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))).withColumn("side", F.col("own").cast("int")).withColumn("diagonal", F.col("own") == F.col("other"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in groups_of(batches, "group"):
@@ -293,6 +307,11 @@ def _verify(members: DataFrame, config: JoinConfig, width: int) -> DataFrame:
                 p, q = np.flatnonzero(side == side.min()), np.flatnonzero(side != side.min())
                 i, j = surviving_pairs(sig[p], sig[q], table, False)
                 i, j = p[i], q[j]
+            band = group.column("band")[0].as_py()
+            if band > 0 and len(i):  # a pair that meets in an earlier band is verified there
+                hashes = np.frombuffer(b"".join(group.column("bands").to_pylist()), "<u8").reshape(len(keys), -1)[:, :band]
+                fresh = np.concatenate([~(hashes[i[k : k + 4096]] == hashes[j[k : k + 4096]]).any(1) for k in range(0, len(i), 4096)])
+                i, j = i[fresh], j[fresh]
             if not len(i):
                 continue
             # exact: number the n-grams of this group, mark those of one text, count the marks of its partners
@@ -323,7 +342,7 @@ def _verify(members: DataFrame, config: JoinConfig, width: int) -> DataFrame:
                 names=["a", "b", "links", "class_links"],
             )
 
-    return dealt.select("group", "key", "copies", "side", "diagonal", "sig", "set").repartition(width, "group").sortWithinPartitions("group").mapInArrow(run, "a binary, b binary, links long, class_links long")
+    return dealt.repartition(width, "group").sortWithinPartitions("group").mapInArrow(run, "a binary, b binary, links long, class_links long")
 
 
 def jaccard_join(df: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -335,13 +354,20 @@ def jaccard_join(df: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str =
     prints = materialise(fingerprints(df, config, doc_id, text), "fingerprints")
     worded = prints.where(F.col("key").isNotNull())
     classes = materialise(worded.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
-    roots = materialise(components(_candidate_edges(classes, config, width)), "roots")
+    buckets = materialise(_shared_buckets(classes, config, width), "buckets")
+    roots = materialise(components(_candidate_edges(classes, buckets, config, width)), "roots")
 
     # The n-gram sets of candidates alone, made anew from one text of each class.
     # How many blocks a component takes is known before its sets join, so these are dealt by key and group alone.
-    wanted = materialise(classes.select("key", "copies", "grams", "sig").join(roots.withColumnRenamed("id", "key"), "key"), "candidates")
-    totals = materialise(wanted.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("grams") / config.block_grams).cast("int")).alias("cuts")), "totals")
-    wanted = wanted.join(totals, "root").drop("grams")
+    wanted = materialise(classes.select("key", "copies", "grams", "sig", "bands").join(roots.withColumnRenamed("id", "key"), "key"), "candidates")
+    cuts = lambda rows, grams: F.greatest(F.lit(1), F.ceil(rows / config.block_rows), F.ceil(grams / config.block_grams)).cast("int")
+    totals = materialise(wanted.groupBy("root").agg(F.count("*").alias("rows"), cuts(F.count("*"), F.sum("grams")).alias("cuts")), "totals")
+    # of components that are cut: their buckets, and whether to deal these costs fewer copies
+    cut = wanted.select("key", "grams", "root").join(totals.where("cuts > 1"), "root")
+    placed = materialise(buckets.join(cut, "key").select("bucket", "band", "key", "root", "grams"), "placed")
+    sizes = materialise(placed.groupBy("root", "bucket").agg(F.count("*").alias("n"), cuts(F.count("*"), F.sum("grams")).alias("bucket_cuts")), "bucket-sizes")
+    chains = sizes.where("n > 1").groupBy("root").agg(F.sum(F.col("n") * F.col("bucket_cuts")).alias("cost")).join(totals, "root").where("cost < rows * cuts").select("root")
+    chains = materialise(chains, "chains")
 
     def resets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash(config.seed)
@@ -352,12 +378,16 @@ def jaccard_join(df: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str =
     chosen = wanted.select("key").join(classes, "key").select(F.col("copy_id").alias("doc_id")).distinct()
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     again = source.join(chosen, source["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").select("text").mapInArrow(resets, "key binary, set binary")
-    members = materialise(wanted.join(again.dropDuplicates(["key"]), "key"), "members")
-    found = materialise(_verify(members, config, width), "links")
+    members = materialise(wanted.drop("grams").join(again.dropDuplicates(["key"]), "key"), "members")
+    whole = members.join(totals.drop("rows").join(chains, "root", "left_anti"), "root")
+    whole = _dealt(whole.withColumns({"band": F.lit(-1).cast("byte"), "bands": F.lit(None).cast("binary")}), "root", "cuts", config)
+    chained = placed.join(chains, "root", "left_semi").select("bucket", "band", "key").join(sizes.where("n > 1").select("bucket", "bucket_cuts"), "bucket").join(members.drop("root"), "key")
+    found = materialise(_verify(whole.unionByName(_dealt(chained, "bucket", "bucket_cuts", config)), config, width), "links")
     linked = components(found.select("a", "b"))
     sums = found.groupBy("a").agg(F.sum("links").alias("links"), F.sum("class_links").alias("class_links"))
     info = classes.select("key", "copy_id", "copies").join(sums.withColumnRenamed("a", "key"), "key", "left").join(linked.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     info = materialise(info, "class-links")
+    discard(buckets, wanted, placed, sizes, members, found)
     least = info.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     info = info.join(least, "root").select("key", "class_id", "copy_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links"), F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links"))
     zero = F.lit(0).cast("long")
@@ -367,8 +397,8 @@ def jaccard_join(df: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str =
 
 def one_of_each(df: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df that stay when one document of each linked group does: that with the least id. Texts without
-    words all stay, but a repeated row (of an id and a text) stays once; rows with a null id count as copies if their
-    texts are equal, and come after all ids."""
+    words all stay, but a repeated row (of an id and a text) stays once; of an id with several texts all stay if one does;
+    rows with a null id count as copies if their texts are equal, and come after all ids."""
     own = "_row_" + uuid.uuid4().hex
     anonymous = F.coalesce(F.xxhash64(text), F.lit(0)).bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 62))
     rows = df.withColumn(own, F.coalesce(F.col(doc_id).cast("long"), anonymous))

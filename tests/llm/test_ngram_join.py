@@ -33,7 +33,7 @@ def copies(seed, n_groups=12):
     return texts + ["", None, "one two"]
 
 
-@pytest.mark.parametrize("config", [N.JoinConfig(), N.JoinConfig(bucket=3, block_grams=400)])
+@pytest.mark.parametrize("config", [N.JoinConfig(), N.JoinConfig(bucket=3, block_grams=400), N.JoinConfig(block_rows=2)])
 def test_links_equal_brute_force(spark, config):
     texts = copies(1)
     links = brute(texts)
@@ -64,6 +64,20 @@ def test_one_hot_group_of_near_copies(spark):
     assert got == {i: len(x) for i, x in links.items()}
 
 
+def test_a_chain_of_near_copies(spark, monkeypatch):
+    """Each text is alike to its neighbours alone: buckets are dealt, not pairs of blocks of the whole component."""
+    words = [f"w{k}" for k in range(1800)]
+    texts = [" ".join(words[4 * k : 4 * k + 120]) for k in range(400)]
+    links = brute(texts)
+    assert 2 <= max(len(x) for x in links.values()) < 12
+    dealt = {}
+    monkeypatch.setattr(N, "_dealt", lambda rows, home, *a, own=N._dealt: dealt.update({home: rows.count()}) or own(rows, home, *a))
+    got = {r["doc_id"]: r for r in N.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), N.JoinConfig(block_rows=2)).collect()}
+    assert {i: r["links"] for i, r in got.items()} == {i: len(x) for i, x in links.items()}
+    assert {r["class_id"] for r in got.values()} == {0}
+    assert dealt["bucket"] > 100 and dealt["root"] < 20
+
+
 def test_awkward(spark, awkward, nothing):
     got = N.jaccard_join(awkward).collect()
     assert len(got) == awkward.count()

@@ -1,8 +1,7 @@
 """Helpers shared by the training-data operators.
 
 Every operator selects the columns it needs and renames them first, so extra columns of the input,
-whatever their names, never reach it. Texts are processed whole, in slices of bounded size; Spark itself bounds the bytes
-of an Arrow batch (spark.sql.execution.arrow.maxBytesPerBatch).
+whatever their names, never reach it. Texts are processed whole, in slices of bounded size.
 """
 
 from __future__ import annotations
@@ -14,12 +13,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise, remove, scratch, shared_dir
 
-__all__ = ["SLICE_CHARS", "WordHash", "bounded", "discard", "held_out", "labelled_sample", "materialise", "remove", "scratch", "segments", "shared_dir", "slices", "texts_of", "word_lists", "words_of"]
+__all__ = ["SLICE_CHARS", "WordHash", "bounded", "discard", "held_out", "labelled_sample", "materialise", "prepare", "remove", "scratch", "segments", "shared_dir", "slices", "texts_of", "word_lists", "words_of"]
 
 WORD = re.compile(r"\w+")
 NO_WORD = re.compile(r"\W")
@@ -27,6 +26,18 @@ NO_WORD = re.compile(r"\W")
 SLICE_CHARS = 4 << 20
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch where the session has no bound of its own; a longer row is a batch alone.
+BATCH_BYTES = 4 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Arrow batches of bounded bytes. The setting is read when a plan runs, so it stays; one that the session has is
+    left alone."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo modulus, is remainder. A null id counts as the text of no characters."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, texts_of, words_of
+from .common import materialise, prepare, slices, texts_of, words_of
 
 LEAK = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, last_word long"
 #: Characters at a time; the bounds of their half windows take the most memory.
@@ -347,6 +347,7 @@ def _leaks(indexes: list[Index], texts: list[str]) -> list[list[tuple]]:
 def leaks(df: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig(), doc_id: str = "doc_id", text: str = "text", **columns: str) -> DataFrame:
     """A row for each document and each item that leaked into it, with the best passage."""
     spark = df.sparkSession
+    prepare(spark)
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = None
     for scan in indexes(items, config, **columns):
@@ -367,6 +368,7 @@ def leaks(df: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig(), do
 
 def without_leaks(df: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig(), text: str = "text", **columns: str) -> DataFrame:
     """The rows of df, all columns, into which no item leaked."""
+    prepare(df.sparkSession)
     for scan in indexes(items, config, **columns):
         shared = [df.sparkSession.sparkContext.broadcast(index) for index in scan]
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, segments, slices, texts_of
+from .common import bounded, prepare, segments, slices, texts_of
 
 UND = "und"
 #: Characters at a time: a text of n characters takes about 60 n bytes of arrays.
@@ -236,6 +236,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], config: LangConfig) ->
 
 def fit(df: DataFrame, usable: Column, config: LangConfig = LangConfig(), text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> LangModel:
     """Learn from the rows of df where usable holds."""
+    prepare(df.sparkSession)
     labelled = df.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
     count = labelled.select(lang).count()
     if not count:
@@ -249,18 +250,14 @@ def fit(df: DataFrame, usable: Column, config: LangConfig = LangConfig(), text:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, chars=SLICE):
-            held: list[dict[int, int]] = [{} for _ in range(batch.num_rows)]
+            keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
             for h, of, sign, _ in counted(texts_of(batch), bits):
-                order = np.argsort(of, kind="stable")
-                h, of, sign = h[order], of[order], sign[order]
-                for k in np.unique(of).tolist():
-                    at, to = np.searchsorted(of, [k, k + 1])
-                    u, own = np.unique(h[at:to], return_inverse=True)
-                    for x, n in zip(u.tolist(), np.bincount(own, sign[at:to]).astype(np.int64).tolist(), strict=True):
-                        held[k][x] = held[k].get(x, 0) + n
-            ids = [sorted(x for x, n in own.items() if n) for own in held]
-            counts = [np.array([own[x] for x in x_ids], np.uint32).tobytes() for own, x_ids in zip(held, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([np.array(x, np.uint32).tobytes() for x in ids], pa.binary()), pa.array(counts, pa.binary())], names=["lang", "order", "ids", "counts"])
+                keys, own = np.unique(np.concatenate([keys, of.astype(np.int64) << bits | h]), return_inverse=True)
+                sums = np.bincount(own, np.concatenate([sums, sign]), len(keys)).astype(np.int64)
+            keys, sums = keys[sums > 0], sums[sums > 0]
+            cuts = np.searchsorted(keys, np.arange(1, batch.num_rows) << bits)
+            ids, counts = np.split((keys & ((1 << bits) - 1)).astype(np.uint32), cuts), np.split(sums.astype(np.uint32), cuts)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.tobytes() for x in counts], pa.binary())], names=["lang", "order", "ids", "counts"])
 
     got = chosen.mapInArrow(run, "lang string, order long, ids binary, counts binary").toArrow().to_pydict()
     rows = sorted(zip(got["order"], got["lang"], got["ids"], got["counts"], strict=True))
@@ -269,6 +266,7 @@ def fit(df: DataFrame, usable: Column, config: LangConfig = LangConfig(), text:
 
 def predict(df: DataFrame, model: LangModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of each row."""
+    prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,6 +279,7 @@ def predict(df: DataFrame, model: LangModel, doc_id: str = "doc_id", text: str =
 
 def keep_known(df: DataFrame, model: LangModel, least: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of df, all columns, whose text has a language with a score of at least ``least``."""
+    prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, discard, materialise, segments, slices, texts_of, words_of
+from .common import WordHash, discard, materialise, prepare, segments, slices, texts_of, words_of
 
 U = np.uint64
 
@@ -154,6 +154,7 @@ def fingerprints(df: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str =
                     bands[k] = b"".join(xxhash.xxh3_64_digest(x.tobytes(), i) for i, x in enumerate(joined[row]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary()), pa.array(bands, pa.binary())], names=["doc_id", "key", "grams", "sig", "bands"])
 
+    prepare(df.sparkSession)
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, key binary, grams int, sig binary, bands binary")
 
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, slices, texts_of
+from .common import discard, materialise, prepare, slices, texts_of
 
 #: A character that stands between chunks, and what keeps a text from being encoded by chunks: this character, and white space for str.split alone.
 MARK = "\x07"
@@ -131,6 +131,7 @@ def tokenizer(path: str) -> WordTokenizer:
 
 def token_pieces(df: DataFrame, tokenizer_path: str, config: PackConfig = PackConfig(), doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, uid and, unless dropped, the ids."""
+    prepare(df.sparkSession)
     cap, end = config.capacity, config.end_id
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, slices, texts_of
+from .common import labelled_sample, prepare, slices, texts_of
 
 
 @dataclass(frozen=True)
@@ -157,6 +157,7 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, config: Quality
 
 def score(df: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of each row."""
+    prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

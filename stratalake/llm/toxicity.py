@@ -20,21 +20,19 @@ toxic; other columns are ignored.
 from __future__ import annotations
 
 import math
-import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import langid
-from .common import labelled_sample, slices, texts_of, word_lists
+from .common import labelled_sample, prepare, slices, texts_of, word_lists
 
-#: Words whose activations are in memory at once.
-BLOCK = 1 << 18
+#: Characters at a time, and words whose activations are in memory at once.
+SLICE, BLOCK = 1 << 21, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -73,13 +71,31 @@ class _Numbers(dict):
 class Vocabulary:
     """Numbers the words of a few texts and gives each one's hashed parts."""
 
-    def __init__(self, config: ToxicConfig, limit: int = 300_000):
-        self.config, self.limit = config, limit
-        self.known: dict[str, bytes] = {}
-
-    def parts(self, word: str) -> bytes:
-        mask = (1 << self.config.bits) - 1
-        return struct.pack(f"<{self.config.parts}I", *(xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass"), k) & mask for k, p in enumerate([word, *(word[:n] for n in self.config.prefixes)])))
+    def __init__(self, config: ToxicConfig):
+        self.config = config
+
+    def parts(self, words: list[str]) -> np.ndarray:
+        """Hashes of each word and of its prefixes (of the whole word, where it is shorter), all words at once: code
+        points are digits of a number in a fixed base."""
+        count, base = np.array([len(w) for w in words], np.int64), np.uint64(0x9E3779B97F4A7C15)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        starts = np.cumsum(count) - count
+        out = np.empty((len(words), self.config.parts), np.int32)
+        hashed, at = np.zeros(len(words), np.uint64), 0
+        shift = np.uint64(64 - self.config.bits)
+        order = np.argsort(-count, kind="stable")
+        longer = np.searchsorted(-count[order], -np.arange(1, int(count.max(initial=0)) + 1), "right").tolist()
+        wanted = {n: k + 1 for k, n in enumerate(self.config.prefixes)}
+        with np.errstate(over="ignore"):
+            for n in range(1, max([*self.config.prefixes, len(longer)]) + 1):
+                if n <= len(longer):
+                    some = order[: longer[n - 1]]  # the words with an n-th character
+                    hashed[some] = (hashed[some] + codes[starts[some] + n - 1] + np.uint64(1)) * base
+                if n in wanted:
+                    at = wanted[n]
+                    out[:, at] = ((hashed ^ (hashed >> np.uint64(29))) * (base + np.uint64(2 * at))) >> shift
+            out[:, 0] = ((hashed ^ (hashed >> np.uint64(29))) * base) >> shift
+        return out
 
     def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, list[str]]:
         """Word numbers of each text; parts of each number; the words."""
@@ -88,13 +104,8 @@ class Vocabulary:
         for t in texts:  # a text's words are let go of before the next one's
             own = [np.fromiter(map(number.__getitem__, words), np.int32, len(words)) for words in word_lists(t)]
             ids.append(own[0] if len(own) == 1 else np.concatenate(own))
-        if len(self.known) > self.limit:
-            self.known.clear()
-        for w in number:
-            if w not in self.known:
-                self.known[w] = self.parts(w)
-        table = np.frombuffer(b"".join(map(self.known.__getitem__, number)), "<u4").reshape(-1, self.config.parts).astype(np.int32)
-        return ids, table, list(number)
+        words = list(number)
+        return ids, self.parts(words), words
 
 
 def languages_of(model: langid.LangModel | None, ids: list[np.ndarray], words: list[str]) -> np.ndarray:
@@ -290,7 +301,7 @@ def train(texts: list[str], labels: list[int], config: ToxicConfig, languages: l
     if y[fit].min() == y[fit].max():
         back, fit = order[:0], order
     model.out_bias = float(np.log(max(1.0, y[fit].sum()) / max(1.0, (1 - y[fit]).sum())))
-    ids, table, words = Vocabulary(config, limit=1 << 30)(texts)
+    ids, table, words = Vocabulary(config)(texts)
     learn(model, ids, table, y, fit, back)
     judged = back if len(back) and y[back].min() < y[back].max() else fit
     z, yj = model.logits([ids[i] for i in judged], table), y[judged]
@@ -312,11 +323,12 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, config: ToxicCo
 
 def score(df: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of each row."""
+    prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(shared.value.config)
-        for batch in slices(batches):
+        for batch in slices(batches, chars=SLICE):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(texts_of(batch), vocabulary), pa.float64())], names=["doc_id", "score"])
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -324,11 +336,12 @@ def score(df: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str =
 
 def keep_clean(df: DataFrame, model: ToxicModel, text: str = "text") -> DataFrame:
     """The rows of df, all columns, with a score below the threshold."""
+    prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(shared.value.config)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             yield batch.filter(pa.array(shared.value.scores(texts_of(batch, text), vocabulary) < shared.value.config.at, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -32,7 +32,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, remove
+from .common import materialise, prepare, remove
 
 #: Bytes of a file that are unpacked at a time.
 STEP = 1 << 16
@@ -197,6 +197,7 @@ def write_archives(df: DataFrame, folder: str, config: WarcConfig = WarcConfig()
     fs, top = FileSystem.from_uri(folder)
     if fs.get_file_info(f"{top}/manifest/_SUCCESS").is_file:
         raise FileExistsError(f"{folder} has a manifest; commit(spark, folder) finishes it")
+    prepare(spark)
     pages = df.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
     shards = Shards(pages.select("page_id", (F.octet_length("payload") + 400).cast("long").alias("size")), config)
     prints = pages.select("page_id", F.sha2("payload", 256).alias("print"), F.octet_length("payload").alias("size"))
@@ -284,6 +285,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
     """One row per response or revisit of the folder's files. Digests of blocks and payloads are verified."""
+    prepare(spark)
     schema = RECORD + (", payload binary" if with_payload else "")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

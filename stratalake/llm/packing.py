@@ -68,7 +68,7 @@ class WordTokenizer:
     Python alone, is encoded directly. Chunks not seen yet are encoded together, joined by blanks.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import json
 
         from tokenizers import Tokenizer

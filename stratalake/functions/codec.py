@@ -52,13 +52,20 @@ def _packed(entries: list[tuple[int, bytes]]) -> np.ndarray:
 
 
 def _unzipped_size(blob: bytes) -> int:
-    """0 if the blob is no zstd frame."""
+    """The summed sizes of all zstd frames of the blob; -1 if one is unfinished, or anything else is in it."""
     import zstandard
 
-    try:
-        return len(zstandard.ZstdDecompressor().decompressobj().decompress(blob))
-    except zstandard.ZstdError:
-        return 0
+    size = 0
+    while blob:
+        frame = zstandard.ZstdDecompressor().decompressobj()
+        try:
+            size += len(frame.decompress(blob))
+        except zstandard.ZstdError:
+            return -1
+        if not frame.eof:
+            return -1
+        blob = frame.unused_data
+    return size
 
 
 def _entry_fault(index: np.ndarray, delta: bool, parent: bytes, ram: int) -> str | None:

@@ -18,11 +18,17 @@ class ChainDepthExceeded(ValueError):
     """A chain is longer than the cap, or has a cycle."""
 
 
-def ascend(links: DataFrame, starts: DataFrame, cap: int = CHAIN_CAP) -> DataFrame:
+def _longest(links: DataFrame, cap: int | None) -> int:
+    """The cap; without one, the number of links, which no chain without a cycle exceeds."""
+    return links.where("parent IS NOT NULL").count() + 1 if cap is None else cap
+
+
+def ascend(links: DataFrame, starts: DataFrame, cap: int | None = CHAIN_CAP) -> DataFrame:
     """links: id, parent (null at a root). starts: start (an id). Returns start, id, distance, start itself first.
 
-    A parent without a row of its own is on the walk too (its own parent is unknown), so that callers can tell it.
+    cap: of links; None for walks of any length, on which a cycle is an error all the same. A parent without a row of its own is on the walk too (its own parent is unknown), so that callers can tell it.
     """
+    cap = _longest(links, cap)
     jump = links.where("parent IS NOT NULL").select("id", F.col("parent").alias("to"))
     walk = starts.select("start", F.col("start").alias("id"), F.lit(0).alias("distance")).distinct()
     step = 1
@@ -46,9 +52,11 @@ def ascend(links: DataFrame, starts: DataFrame, cap: int = CHAIN_CAP) -> DataFra
         step *= 2
 
 
-def descend(links: DataFrame, starts: DataFrame, keys: list[str], most_levels: int = CHAIN_CAP) -> DataFrame:
+def descend(links: DataFrame, starts: DataFrame, keys: list[str], most_levels: int | None = None) -> DataFrame:
     """links: keys and parent, keyed within the first key. starts: the same keys. Returns keys and root (the start's last
-    key) and level of every descendant, the starts at level 0. keys: scope column and id column."""
+    key) and level of every descendant, the starts at level 0. keys: scope column and id column. Trees may have any depth,
+    at a round for each level; a cycle is an error."""
+    most_levels = _longest(links, most_levels)
     scope, node = keys
     level = starts.select(scope, F.col(node), F.col(node).alias("root"), F.lit(0).alias("level")).distinct()
     level = materialise(level, "level")

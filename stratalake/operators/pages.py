@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import HAS_PAGES_CAP, PACK_HEADER, RECORD_SIZE
+from ..session import materialise
 
 
 def first_writers(incoming: DataFrame) -> DataFrame:
@@ -20,7 +21,8 @@ def first_writers(incoming: DataFrame) -> DataFrame:
 def ingest(incoming: DataFrame, index: DataFrame) -> DataFrame:
     """The rows of incoming with newly_written: first of its hash in the batch and not in the index."""
     seen = first_writers(incoming).join(index.select("page_hash", F.lit(True).alias("_stored")), "page_hash", "left")
-    new = seen.select("page_hash", F.when(F.col("_stored").isNull(), F.col("first_ordinal")).alias("_first"))
+    # a table of its own, so that adaptive execution can split the join at a hot page, such as the one of zeros
+    new = materialise(seen.select("page_hash", F.when(F.col("_stored").isNull(), F.col("first_ordinal")).alias("_first")), "new-pages")
     return incoming.join(new, "page_hash").withColumn("newly_written", F.coalesce(F.col("ordinal") == F.col("_first"), F.lit(False))).drop("_first")
 
 

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import CHAIN_CAP, QUERY_CAP, QUERY_DEFAULT
+from ..schema import QUERY_CAP, QUERY_DEFAULT
 from .closure import ascend, descend
 
 ORDERS = ("created_at", "updated_at", "node_id")
@@ -66,7 +66,7 @@ def page_after(nodes: DataFrame, experiment: str, order: str, cursor: tuple[int,
     return found.orderBy(order, "node_id").limit(size)
 
 
-def get_path(nodes: DataFrame, starts: DataFrame, cap: int = CHAIN_CAP) -> DataFrame:
+def get_path(nodes: DataFrame, starts: DataFrame, cap: int | None = None) -> DataFrame:
     """starts: experiment_id, node_id. The nodes from the root to each start, with start (its id); none for an unknown
     start. Order by depth to have the root first."""
     key = F.struct("experiment_id", "node_id")

@@ -21,11 +21,15 @@ def session(name: str = "stratalake", master: str | None = None, **config: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset (tests, single machine)."""
+    """spark.checkpoint.dir, or a local folder where it is unset (tests, single machine). On a cluster it must be set, as
+    executors would write to disks of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset; set it to a folder that the driver and all executors share")
+
         where = "file://" + tempfile.mkdtemp(prefix="stratalake-")
         spark.sparkContext.setCheckpointDir(where)
         spark.conf.set("spark.checkpoint.dir", where)
@@ -50,8 +54,8 @@ def _clean() -> None:
     for spark, path in _scratch:
         try:
             remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended already
-            return
+        except Exception:  # noqa: BLE001  the session may have ended already, others may not have
+            continue
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

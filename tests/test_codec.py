@@ -81,6 +81,15 @@ def test_compressed_blob():
     assert C.decode_manifest(C.encode_manifest(m)).blob_raw_len == 1000
 
 
+def test_compressed_blobs_in_frames_and_damaged():
+    import zstandard
+
+    two = zstandard.compress(b"x" * 600) + zstandard.compress(b"y" * 400)
+    checked = zstandard.ZstdCompressor(write_checksum=True).compress(b"x" * 1000)
+    for blob, size, fault in ((two, 1000, None), (checked, 1000, None), (b"", 0, None), (b"garbage", 0, "ZstdRawLenMismatch"), (checked[:-4], 1000, "ZstdRawLenMismatch"), (two[:-1], 1000, "ZstdRawLenMismatch"), (two + b"z", 1000, "ZstdRawLenMismatch"), (two, 600, "ZstdRawLenMismatch")):
+        assert C.build_fault(C.Manifest(4096, [(0, b"h" * 32)], None, blob, 1, True, size)) == fault
+
+
 def test_any_truncation_is_rejected():
     raw = C.encode_manifest(FULL)
     assert all(isinstance(C.decode_manifest(raw[:n]), str) for n in range(len(raw)))

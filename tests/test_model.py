@@ -63,6 +63,18 @@ def test_chain_cap_and_cycles(spark):
         ascend(loop, start, cap=8)
 
 
+def test_deep_trees_have_no_cap(spark):
+    """A path of 10,000 nodes; a cycle is still an error."""
+    nodes = spark.range(10_000).selectExpr("'a' AS experiment_id", "id AS node_id", "CASE WHEN id > 0 THEN id - 1 END AS parent_node_id")
+    start = spark.createDataFrame([("a", 9_999)], "experiment_id string, node_id bigint")
+    assert tree.get_path(nodes, start).count() == 10_000
+    loop = nodes.where("node_id < 9").withColumn("parent_node_id", F.coalesce("parent_node_id", F.lit(8)))
+    with pytest.raises(ChainDepthExceeded):
+        tree.get_path(loop, start.withColumn("node_id", F.lit(3).cast("long"))).count()
+    with pytest.raises(ChainDepthExceeded):
+        tree.subtree(loop, start.withColumn("node_id", F.lit(3).cast("long"))).count()
+
+
 def test_replayed_create_fails_under_a_pruned_parent(spark, mini):
     pruned = mini.withColumn("status", F.when(F.col("node_id") == 1, PRUNED).otherwise(0))
     ask = spark.createDataFrame([(0, "a", 3, 1, "m3", "l3"), (1, "a", 2, 0, "m2", None), (2, "a", 2, 0, "x", None), (3, "", 9, None, "s", None)], "ordinal bigint, experiment_id string, node_id bigint, parent_node_id bigint, snapshot_ref string, input_log_id string")

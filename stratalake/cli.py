@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from .operators import fsck, gc, mutations, stats, tree
 from .schema import STATUS, from_hex, hex_text
-from .session import session
+from .session import materialise, session
 from .sources.catalog import Catalog
+from .sources.containers import log_facts
+from .sources.store_check import check_store
 
 
 def _show(df, out=None) -> None:
@@ -56,7 +58,9 @@ def _parser() -> argparse.ArgumentParser:
             k.add_argument("--expected", type=int)
     c = sub.add_parser("gc")
     c.add_argument("--aggressive", action="store_true")
-    sub.add_parser("fsck")
+    f = sub.add_parser("fsck")
+    f.add_argument("--files", help="folder with pages and manifests, whose files are checked too")
+    f.add_argument("--deep", action="store_true", help="hash every record, pack and input log again")
     return p
 
 
@@ -135,7 +139,13 @@ def main(argv: list[str] | None = None) -> int:
         catalog.commit(base, changed, logical_counter=counter, last_fence=counter, gc_cycles=state.get("gc_cycles", 0) + 1)
     elif a.command == "fsck":
         layers, index = base.table("manifests"), base.table("page_index")
+        if a.files:
+            bad = materialise(check_store(spark, a.files, nodes, pins, base.table("input_logs"), a.deep), "violations")
+            _show(fsck.report(bad))
+            return int(not fsck.is_ok(bad))
         found = [fsck.missing_manifests(nodes, layers), fsck.dangling_pins(pins, layers), fsck.missing_pages(base.table("manifest_entries"), index), fsck.missing_input_logs(nodes, base.table("input_logs"))]
+        if a.deep:
+            found.append(fsck.failed(log_facts(base.table("input_logs")), "BadInputLogFooter", "log_id"))
         _show(fsck.report(*found))
         return int(not fsck.is_ok(*found))
     return 0

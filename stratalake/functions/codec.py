@@ -182,6 +182,7 @@ class Pack:
     sealed: bool = False
     error: str | None = None  #: of the whole pack
     torn_at: int | None = None  #: where an unsealed pack stops being whole
+    promised: int | None = None  #: records by the footer of a sealed pack
 
 
 def decode_pack(raw: bytes, verify: bool = False) -> Pack:
@@ -206,6 +207,7 @@ def decode_pack(raw: bytes, verify: bool = False) -> Pack:
         out.error = "TruncatedRecord" if out.sealed else None
     if out.sealed:
         count, body = struct.unpack_from("<Q32s", raw, len(raw) - PACK_FOOTER + 4)
+        out.promised = count
         if count != len(out.records):
             out.error = "FooterMismatch"
         elif verify and blake3(raw[PACK_HEADER:-PACK_FOOTER]) != body:

@@ -223,6 +223,57 @@ def bad_manifests(df: DataFrame) -> DataFrame:
     return df.select("path", "content").mapInArrow(run, "path string, error string")
 
 
+def pack_facts(df: DataFrame, deep: bool = False) -> DataFrame:
+    """df: path, content. A row for each pack: whether it is sealed, its whole records, the count in its footer; with deep,
+    whether its body has another hash and the offsets of records that do. A runt or a foreign file has no records."""
+    out = "path string, sealed boolean, records bigint, promised bigint, bad_body boolean, bad_records array<bigint>"
+    schema = _arrow(df.sparkSession, out)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pack = codec.decode_pack(raw)
+                body = raw[codec.PACK_HEADER : -codec.PACK_FOOTER]
+                bad_body = deep and pack.sealed and blake3_many([body])[0] != raw[-32:]
+                rows.append({"path": path, "sealed": pack.sealed, "records": len(pack.records), "promised": pack.promised, "bad_body": bad_body, "bad_records": codec.bad_records(pack) if deep else []})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return df.select("path", "content").mapInArrow(run, out)
+
+
+def layer_facts(df: DataFrame) -> DataFrame:
+    """df: path, content. A row for each manifest file with a ref for a name: snapshot_ref, entries, and as error either
+    BadFooter, where its bytes are not what the name says, or the decoder's."""
+    out = "path string, snapshot_ref binary, error string, entries array<struct<page_index: bigint, page_hash: binary>>"
+    schema = _arrow(df.sparkSession, out)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = [x or b"" for x in batch.column(1).to_pylist()]
+            rows = []
+            for path, raw, digest in zip(batch.column(0).to_pylist(), raws, codec.digests(raws), strict=True):
+                named = bytes.fromhex(path[-68:-4])
+                got = "BadFooter" if len(raw) < 32 or digest != raw[-32:] or digest != named else codec.decode_manifest(raw, digest)
+                rows.append({"path": path, "snapshot_ref": named, "error": got} if isinstance(got, str) else {"path": path, "snapshot_ref": named, "entries": [{"page_index": i, "page_hash": h} for i, h in got.entries]})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return df.select("path", "content").where(F.col("path").rlike(r"(^|/)[0-9a-fA-F]{64}\.spm$")).mapInArrow(run, out)
+
+
+def log_facts(df: DataFrame) -> DataFrame:
+    """df: log_id, content. error is BadFooter where the content's body has another hash than the id."""
+    out = "log_id binary, error string"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, raws = batch.column(0), [x or b"" for x in batch.column(1).to_pylist()]
+            faults = [None if len(raw) >= 32 and h == own else "BadFooter" for raw, h, own in zip(raws, codec.digests(raws), ids.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(faults, pa.string())], names=["log_id", "error"])
+
+    return df.select(F.col("log_id").cast("binary").alias("log_id"), F.col("content").cast("binary").alias("content")).mapInArrow(run, out)
+
+
 def recover_index(spark: SparkSession, folder: str) -> DataFrame:
     """The index of a folder of packs after a crash: page_hash, pack_id, offset. Sealed packs with a sound sidecar are indexed
     by it alone; all others by scanning their records up to the first torn one; runts and foreign files have none. Of

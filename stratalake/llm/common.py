@@ -6,6 +6,7 @@ whatever their names, never reach it. Texts are processed whole, in slices of bo
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterable, Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import discard, materialise, remove, scratch, shared_dir
 
-__all__ = ["SLICE_CHARS", "WordHash", "bounded", "discard", "held_out", "labelled_sample", "materialise", "prepare", "remove", "scratch", "segments", "shared_dir", "slices", "texts_of", "word_lists", "words_of"]
+__all__ = ["SLICE_CHARS", "WordHash", "bounded", "discard", "held_out", "labelled_sample", "materialise", "prepare", "remove", "scratch", "segments", "shared_dir", "slices", "texts_of", "trim", "word_lists", "words_of"]
 
 WORD = re.compile(r"\w+")
 NO_WORD = re.compile(r"\W")
@@ -38,6 +39,16 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Hand freed memory back to the system; the allocators of Python and Arrow keep what a fit has used, and a driver has
+    little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo modulus, is remainder. A null id counts as the text of no characters."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder

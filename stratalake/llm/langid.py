@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, prepare, segments, slices, texts_of
+from .common import bounded, prepare, segments, slices, texts_of, trim
 
 UND = "und"
 #: Characters at a time: a text of n characters takes about 60 n bytes of arrays.
@@ -202,15 +202,19 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], config: LangConfig) ->
         df[rows[i][1]] += 1
     idf = np.log((1 + len(fit)) / (1 + df)) + 1
     idf[df == 0] = 0.0  # never learned
-    x = [(r[1], config.scale * idf[r[1]] * r[2] / max(1, r[2].sum())) for r in rows]
-    z, n, w = np.zeros((size + 1, k)), np.zeros((size + 1, k)), np.zeros((size + 1, k))
+    z, n = np.zeros((size + 1, k)), np.zeros((size + 1, k))
+
+    def values(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Made each time: kept for all rows, they would be most of a fit's memory."""
+        _, ids, counts = rows[i]
+        return ids, config.scale * idf[ids] * counts / max(1, counts.sum())
 
     def solved(z: np.ndarray, n: np.ndarray, l1: float) -> np.ndarray:
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((config.beta + np.sqrt(n)) / config.alpha + config.l2))
 
     for _ in range(config.passes):
         for i in rng.permutation(fit):
-            ids, v = x[i]
+            ids, v = values(i)
             wi, wb = solved(z[ids], n[ids], config.l1), solved(z[size], n[size], 0.0)
             err = _softmax(v @ wi + wb)
             err[y[i]] -= 1
@@ -221,17 +225,20 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], config: LangConfig) ->
             sb = (np.sqrt(n[size] + err * err) - np.sqrt(n[size])) / config.alpha
             z[size] += err - sb * wb
             n[size] += err * err
-    w = solved(z[:size], n[:size], config.l1)
+    w = np.empty((size, k))
+    for c in range(k):  # one at a time takes less memory
+        w[:, c] = solved(z[:size, c], n[:size, c], config.l1)
     bias = solved(z[size], n[size], 0.0)
     temperature = 1.0
     if len(back):
-        logits = np.array([x[i][1] @ w[x[i][0]] + bias for i in back])
+        logits = np.array([v @ w[ids] + bias for ids, v in map(values, back)])
 
         def loss(t: float) -> float:
             return -np.log(np.maximum(_softmax(logits / t)[np.arange(len(back)), y[back]], 1e-12)).mean()
 
         temperature = float(min(np.geomspace(0.25, 8, 41), key=loss))
-    return LangModel(languages, (config.scale * idf[:, None] * w).astype(np.float32), bias, temperature, config.bits)
+    w *= config.scale * idf[:, None]
+    return LangModel(languages, w.astype(np.float32), bias, temperature, config.bits)
 
 
 def fit(df: DataFrame, usable: Column, config: LangConfig = LangConfig(), text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> LangModel:
@@ -259,9 +266,14 @@ def fit(df: DataFrame, usable: Column, config: LangConfig = LangConfig(), text:
             ids, counts = np.split((keys & ((1 << bits) - 1)).astype(np.uint32), cuts), np.split(sums.astype(np.uint32), cuts)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.tobytes() for x in counts], pa.binary())], names=["lang", "order", "ids", "counts"])
 
-    got = chosen.mapInArrow(run, "lang string, order long, ids binary, counts binary").toArrow().to_pydict()
-    rows = sorted(zip(got["order"], got["lang"], got["ids"], got["counts"], strict=True))
-    return train([(lang, np.frombuffer(i, np.uint32).astype(np.int64), np.frombuffer(c, np.uint32).astype(np.float64)) for _, lang, i, c in rows if i], config)
+    got = chosen.mapInArrow(run, "lang string, order long, ids binary, counts binary").toArrow()
+    # what is learned from are views of the table, not copies
+    own = lambda name: [np.frombuffer(x.as_buffer(), np.uint32) for x in got.column(name)]
+    rows = sorted(zip(got.column("order").to_pylist(), got.column("lang").to_pylist(), own("ids"), own("counts"), strict=True), key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
+    model = train([(lang, i, c) for _, lang, i, c in rows if len(i)], config)
+    del got, rows
+    trim()
+    return model
 
 
 def predict(df: DataFrame, model: LangModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

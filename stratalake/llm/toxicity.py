@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import langid
-from .common import labelled_sample, prepare, slices, texts_of, word_lists
+from .common import labelled_sample, prepare, segments, slices, texts_of, trim, word_lists
 
-#: Characters at a time, and words whose activations are in memory at once.
-SLICE, BLOCK = 1 << 21, 1 << 17
+#: Characters at a time, words whose activations are in memory at once, and different words whose parts or n-grams are.
+SLICE, BLOCK, SOME = 1 << 21, 1 << 17, 1 << 14
 
 
 @dataclass(frozen=True)
@@ -112,7 +112,7 @@ def languages_of(model: langid.LangModel | None, ids: list[np.ndarray], words: l
     """The number of each text's language by the n-grams of its words, -1 without one."""
     if model is None or not model.languages or not words:
         return np.full(len(ids), -1)
-    sums, totals = model.sums(words)
+    sums, totals = map(np.concatenate, zip(*(model.sums(words[at : at + SOME]) for at in range(0, len(words), SOME)), strict=True))
     out = []
     for x in ids:
         n = np.bincount(x, minlength=1)
@@ -174,7 +174,9 @@ class ToxicModel:
 
     def logits(self, ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
         """Texts go by blocks of words; a long one's blocks overlap by a window, and their maxima are its own."""
-        words, over = self.emb[table].mean(1), max(self.config.widths) - 1
+        words, over = np.empty((len(table), self.config.size), np.float32), max(self.config.widths) - 1
+        for at in range(0, len(table), SOME):
+            words[at : at + SOME] = self.emb[table[at : at + SOME]].mean(1)
         best = np.zeros((len(ids), len(self.out)), np.float32)
         held, owner, size = [], [], 0
 
@@ -239,6 +241,13 @@ def _loss(z: np.ndarray, y: np.ndarray) -> float:
     return float(np.logaddexp(0, np.where(y == 1, -z, z)).mean())
 
 
+def _alone(ids: list[np.ndarray], some: np.ndarray, table: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Some of the texts with a numbering of their own words, the parts of these, and their numbers in table."""
+    used, local = np.unique(np.concatenate([np.empty(0, np.int32), *(ids[i] for i in some)]), return_inverse=True)
+    starts, _ = segments(np.array([len(ids[i]) for i in some], np.int64))
+    return np.split(local.astype(np.int32), starts[1:]), table[used], used
+
+
 def learn(model: ToxicModel, ids: list[np.ndarray], table: np.ndarray, y: np.ndarray, fit: np.ndarray, back: np.ndarray) -> ToxicModel:
     """The network of the pass with the least loss on the held-back rows (on all rows without any)."""
     config, rng = model.config, np.random.default_rng(model.config.seed + 1)
@@ -246,6 +255,7 @@ def learn(model: ToxicModel, ids: list[np.ndarray], table: np.ndarray, y: np.nda
     adam = _Adam([model.bias, model.out, bias, *model.conv], config.rate)
     seen = np.full(1 << config.bits, 1e-4)
     judged = back if len(back) else fit
+    judged_ids, judged_table, _ = _alone(ids, judged, table)
 
     def copy() -> tuple:
         return model.emb.copy(), [c.copy() for c in model.conv], model.bias.copy(), model.out.copy(), float(bias[0])
@@ -278,7 +288,7 @@ def learn(model: ToxicModel, ids: list[np.ndarray], table: np.ndarray, y: np.nda
             seen[parts] += (d * d).mean(1)
             model.emb[parts] -= (config.word_rate * d / np.sqrt(seen[parts])[:, None]).astype(np.float32)
         model.out_bias = float(bias[0])
-        loss = _loss(model.logits([ids[i] for i in judged], table), y[judged])
+        loss = _loss(model.logits(judged_ids, judged_table), y[judged])
         waited = 0 if best is None or loss < 0.95 * best[0] else waited + 1
         if best is None or loss < best[0]:
             best = (loss, copy())
@@ -290,6 +300,10 @@ def learn(model: ToxicModel, ids: list[np.ndarray], table: np.ndarray, y: np.nda
 
 
 def train(texts: list[str], labels: list[int], config: ToxicConfig, languages: langid.LangModel | None = None) -> ToxicModel:
+    return _train(Vocabulary(config)(texts), labels, config, languages)
+
+
+def _train(numbered: tuple[list[np.ndarray], np.ndarray, list[str]], labels: list[int], config: ToxicConfig, languages: langid.LangModel | None) -> ToxicModel:
     model = start(config)
     model.languages = languages
     y = np.array(labels, np.float64)
@@ -301,11 +315,12 @@ def train(texts: list[str], labels: list[int], config: ToxicConfig, languages: l
     if y[fit].min() == y[fit].max():
         back, fit = order[:0], order
     model.out_bias = float(np.log(max(1.0, y[fit].sum()) / max(1.0, (1 - y[fit]).sum())))
-    ids, table, words = Vocabulary(config)(texts)
+    ids, table, words = numbered
     learn(model, ids, table, y, fit, back)
     judged = back if len(back) and y[back].min() < y[back].max() else fit
-    z, yj = model.logits([ids[i] for i in judged], table), y[judged]
-    own = languages_of(languages, [ids[i] for i in judged], words)
+    judged_ids, judged_table, used = _alone(ids, judged, table)
+    z, yj = model.logits(judged_ids, judged_table), y[judged]
+    own = languages_of(languages, judged_ids, [words[k] for k in used.tolist()])
     model.thresholds[-1] = _best_threshold(z, yj)
     for g in range(len(languages.languages) if languages else 0):
         mine = own == g
@@ -318,7 +333,13 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, config: ToxicCo
     """Learn from documents whose doc_id has a label and for which usable (of column doc_id) holds. Without languages one
     threshold is for all texts."""
     rows = labelled_sample(documents, labels, usable, label, config.sample, config.sample_bytes, config.seed)
-    return train([t for t, _ in rows], [y for _, y in rows], config, languages)
+    numbered, own = Vocabulary(config)([t for t, _ in rows]), [y for _, y in rows]
+    del rows  # the texts do not stay in memory while the network learns
+    trim()
+    model = _train(numbered, own, config, languages)
+    del numbered
+    trim()
+    return model
 
 
 def score(df: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 """Classifiers: held-out accuracy, defined results, and what they must not depend on."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -291,6 +292,25 @@ def test_samples_are_bounded_and_do_not_depend_on_partitions(spark):
     assert bounded(spark.range(5).withColumn("n", F.lit(10)), ["id"], "n", 10, 5).count() == 0
 
 
+def peak_mb(run):
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return peak
+
+
+def test_a_fit_leaves_the_driver_its_memory():
+    """Beside its input, a fit holds neither features of all rows nor embeddings of all words."""
+    rng = np.random.default_rng(6)
+    rows = [("ab"[k % 2], rng.choice(1 << 12, 2000, replace=False), np.ones(2000, np.int64)) for k in range(400)]
+    assert peak_mb(lambda: langid.train(rows, langid.LangConfig(bits=12, passes=1))) < 5
+    texts = [" ".join(f"w{k}x{j}" for j in range(400)) for k in range(150)]
+    config = toxicity.ToxicConfig(bits=8, passes=1, steps=1)
+    numbered = toxicity.Vocabulary(config)(texts)
+    assert peak_mb(lambda: toxicity._train(numbered, [k % 2 for k in range(150)], config, None)) < 15
+
+
 def test_a_very_long_text(spark):
     """Five million characters in one row, next to an empty one."""
     long = "Word by word, the text goes on and on. " * 130_000

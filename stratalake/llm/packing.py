@@ -19,6 +19,7 @@ the same packing, and another split another one. Other columns of the input are
 from __future__ import annotations
 
 import bisect
+import codecs
 import random
 import re
 import zlib
@@ -36,16 +37,32 @@ from .common import discard, materialise, prepare, slices, texts_of
 
 #: A character that stands between chunks, and what keeps a text from being encoded by chunks: this character, and white space for str.split alone.
 MARK = "\x07"
-ODD = re.compile(r"[\x07\x1c-\x1f]")
+ODD = "\x07\x1c\x1d\x1e\x1f"
 #: Beyond the letters that lower case and composition treat alone, so that they may come first.
 WIDE = re.compile(r"[^\x00-\u024f]")
-#: A run of punctuation that a full stop or comma goes on, or any other run; and where a run follows a letter or digit.
-RUN = re.compile(r"[^\s\w][.,]|[^\s\w.,'][^\s\w]|_")
+#: A run of punctuation that a full stop or comma goes on, or any other run (besides underscores; one set comes first, as
+#: the search is then three times as fast); and where a run follows a letter or digit.
+RUN = re.compile(r"[^\s\w](?:[.,]|(?<=[^.,'])[^\s\w])")
 RUN_STARTS = re.compile(r"(?<=[^\W_])(?=[^\s\w'])")
+#: The split of a tokenizer that takes a run of letters whole, and the letters that its normalisers leave as they are.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile("[" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c == c.lower()) + "]+")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
 PIECE_IDS = f"{PIECE}, ids array<int>"
 
 
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in own else next(rest)) for b in range(256)]
+
+
+BYTES = _byte_letters()
+#: By bytes, with blanks left as they are.
+LETTERS = "".join(" " if b == 32 else c for b, c in enumerate(BYTES))
+
+
 @dataclass(frozen=True)
 class PackConfig:
     capacity: int = 2048
@@ -65,13 +82,15 @@ class WordTokenizer:
 
     That holds for a tokenizer file with a Split pattern whose separators are removed and the normalisers NFC, white
     space replacement and lower case; any other tokenizer, and a text with separators that count as white space in
-    Python alone, is encoded directly. Chunks not seen yet are encoded together, joined by blanks.
+    Python alone, is encoded directly. Chunks not seen yet are encoded together, joined by blanks. Where the file is known
+    to take a run of letters whole and as bytes, those of lower-case Latin letters go to its merges without normalisers; a word's
+    last token tells its end.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
         import json
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
@@ -82,6 +101,14 @@ class WordTokenizer:
         mark = self.ids(MARK)
         self.by_chunk = len(steps) == 2 and steps[0].get("behavior") == "Removed" and norms == ["NFC", "Replace", "Lowercase"] and len(mark) == 1
         self.mark = int(mark[0]) if len(mark) else -1
+        self.merges = None
+        if self.by_chunk and steps[0].get("pattern") == {"Regex": SPLIT} and steps[0].get("invert") and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex", True):
+            vocab, suffix = told["model"]["vocab"], told["model"].get("end_of_word_suffix")
+            if suffix and all(c in vocab and c + suffix in vocab for c in BYTES):
+                self.merges = Tokenizer(self.own.model)  # shares the vocabulary
+                self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+                self.ends = np.zeros(max(vocab.values()) + 1, bool)
+                self.ends[[n for token, n in vocab.items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
         self.limit = limit
 
@@ -89,27 +116,39 @@ class WordTokenizer:
     def chunks(text: str) -> list[str]:
         """Where the pattern cuts anyway, between a letter and punctuation, and with letters lower-cased, there are fewer
         different chunks."""
-        if WIDE.search(text):
+        if not text.isascii() and WIDE.search(text):
             return text.split()
         text = text.lower()
-        return (RUN_STARTS.sub(" ", text) if RUN.search(text) else text.replace(".", " .").replace(",", " ,")).split()
+        return (RUN_STARTS.sub(" ", text) if "_" in text or RUN.search(text) else text.replace(".", " .").replace(",", " ,")).split()
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode the chunks with a mark after each; the mark is in none of them."""
-        for at in range(0, len(chunks), 4096):
-            part = chunks[at : at + 4096]
+        """Encode the chunks, a few thousand at a time."""
+        plain, other = [], []
+        for c in chunks:
+            (plain if self.merges and PLAIN.fullmatch(c) else other).append(c)
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            text = codecs.charmap_decode(" ".join(part).encode(), "strict", LETTERS)[0]
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            self._remember(part, ids, np.flatnonzero(self.ends[ids]) + 1, 0)
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]  # with a mark after each, which is in none of them
             ids = self.ids(f" {MARK} ".join([*part, ""]))
-            ends, all_ids, first = (4 * np.flatnonzero(ids == self.mark)).tolist(), ids.tobytes(), 0
-            for chunk, end in zip(part, ends, strict=True):
-                self.known[chunk] = all_ids[first:end]
-                first = end + 4
+            self._remember(part, ids, np.flatnonzero(ids == self.mark), 1)
+
+    def _remember(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
+        """ends: where each chunk's ids end; the next one's begin after a gap."""
+        all_ids, first = ids.tobytes(), 0
+        for chunk, end in zip(chunks, (4 * ends).tolist(), strict=True):
+            self.known[chunk] = all_ids[first:end]
+            first = end + 4 * gap
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        direct = [not self.by_chunk or bool(ODD.search(t)) for t in texts]
+        direct = [not self.by_chunk or any(c in t for c in ODD) for t in texts]
         split = [[] if d else self.chunks(t) for t, d in zip(texts, direct, strict=True)]
         if len(self.known) > self.limit:
             self.known.clear()

@@ -23,6 +23,20 @@ def test_ids_equal_the_tokenizer():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
 
 
+def test_letters_go_to_the_merges_alone(monkeypatch):
+    """Words of lower-case Latin letters, each letter included, have the tokenizer's ids without its normalisers and split."""
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha()]
+    rng = random.Random(4)
+    words = letters + [f"a{c}" for c in letters] + ["".join(rng.choice(letters if k % 2 else "aeionrst") for _ in range(rng.randrange(1, 16))) for k in range(6000)]
+    w = K.WordTokenizer(PATH)
+    want = {c: w.ids(c).tobytes() for x in words for c in w.chunks(x)}
+    whole, ids = [], w.ids
+    monkeypatch.setattr(w, "ids", lambda text: whole.append(text) or ids(text))
+    w.learn(list(want))
+    assert {c: w.known[c] for c in want} == want
+    assert not any(K.PLAIN.fullmatch(c) for text in whole for c in text.split() if c != K.MARK)
+
+
 def test_a_tokenizer_of_another_kind_is_used_as_it_is():
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     own = K.WordTokenizer(path)

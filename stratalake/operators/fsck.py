@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import PRUNED
+from . import pages
 
 #: The classes of violation, shallow ones first.
 CLASSES = ["MissingManifest", "DanglingPin", "MissingPage", "BadSidecarCrc", "BadManifestFooter", "BadPackFooter", "SidecarRecordCountMismatch", "MissingInputLog", "BadManifestDecode", "RecordHashMismatch", "BadPackBodyHash", "BadInputLogFooter"]
@@ -29,7 +30,12 @@ def dangling_pins(pins: DataFrame, manifests: DataFrame) -> DataFrame:
 
 
 def missing_pages(entries: DataFrame, index: DataFrame) -> DataFrame:
-    return _rows(entries.join(index.select("page_hash"), "page_hash", "left_anti"), "MissingPage", "page_hash", F.concat_ws("#", "snapshot_ref", "page_index"))
+    return page_violations(pages.missing_pages(entries, index))
+
+
+def page_violations(lost: DataFrame) -> DataFrame:
+    """Entries whose page is not stored, as violations."""
+    return _rows(lost, "MissingPage", "page_hash", F.concat_ws("#", "snapshot_ref", "page_index"))
 
 
 def missing_input_logs(nodes: DataFrame, logs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..schema import CHAIN_CAP, PAGE_SIZE
 from .closure import ascend
+from .pages import missing_pages
 
 
 def validate(layers: DataFrame, entries: DataFrame) -> DataFrame:
@@ -37,9 +38,7 @@ def put(candidates: DataFrame, entries: DataFrame, manifests: DataFrame, index:
     duplicates counted) or INSERTED. The parent must be stored before the batch."""
     known = manifests.select("snapshot_ref", F.lit(True).alias("_known"))
     parent = manifests.select(F.col("snapshot_ref").alias("parent_ref"), F.col("guest_ram_bytes").alias("_parent_ram"))
-    # one probe of the index for each distinct page of the batch
-    absent = entries.select("page_hash").distinct().join(index.select("page_hash"), "page_hash", "left_anti")
-    lacking = entries.join(absent, "page_hash").groupBy("snapshot_ref").agg(F.count("*").alias("missing"))
+    lacking = missing_pages(entries, index).groupBy("snapshot_ref").agg(F.count("*").alias("missing"))
     out = candidates.join(known, "snapshot_ref", "left").join(parent, "parent_ref", "left").join(lacking, "snapshot_ref", "left")
     outcome = (
         F.when(F.col("_known"), "EXISTING")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fsck, gc, manifests, mutations, pages, stats, tree
-from ..session import remove, scratch
+from ..session import materialise, remove, scratch
 from ..sources import containers
 from ..sources import projections as P
 from ..sources.projections import sha, with_sql
@@ -63,9 +63,15 @@ class Store:
     def layers(self) -> DataFrame:
         return P.manifests(self.spark, self.sf_dir)
 
+    @cached_property
+    def numbered(self) -> DataFrame:
+        """The layers by number, a table of its own: walks and entries read them several times."""
+        return materialise(P.layers(self.spark, self.sf_dir), "layers")
+
     @property
     def entries(self) -> DataFrame:
-        return P.manifest_entries(self.spark, self.sf_dir, self.layers)
+        """Of the numbered layers, with pages by their text."""
+        return P.layer_entries(self.spark, self.sf_dir, self.numbered)
 
     @property
     def kv(self) -> DataFrame:
@@ -175,18 +181,21 @@ def _heads(layers: DataFrame) -> DataFrame:
     return layers.where("is_head").select("snapshot_ref")
 
 
+def _hashed(df: DataFrame) -> DataFrame:
+    """Hashes for the numbers of layers and the texts of pages."""
+    return df.select(*[(P.ref(c) if c in ("head", "baseline", "snapshot_ref") else P.page(c) if c == "page_hash" else F.col(c)).alias(c) for c in df.columns])
+
+
 @query(with_sql("manifest_entries", _FLAT, True))
 def resolve_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Store(spark, sf_dir)
-    layers = s.layers
-    return manifests.resolve_full(layers, s.entries, _heads(layers))
+    return _hashed(manifests.resolve_full(s.numbered, s.entries, _heads(s.numbered)))
 
 
 @query(with_sql("manifest_entries", _FLAT, True))
 def flatten_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Store(spark, sf_dir)
-    layers = s.layers
-    return manifests.flatten_by_rank(manifests.chain(layers, _heads(layers)), s.entries)
+    return _hashed(manifests.flatten_by_rank(manifests.chain(s.numbered, _heads(s.numbered)), s.entries))
 
 
 @query(with_sql("manifest_entries", _CHAIN + """,
@@ -196,10 +205,10 @@ JOIN manifest_entries e ON e.snapshot_ref = c.snapshot_ref WHERE c.chain_pos < b
 def resolve_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against the layer two below each head, or the root of a shorter chain."""
     s = Store(spark, sf_dir)
-    m = s.layers.select("snapshot_ref", "parent_ref", "is_head")
+    m = s.numbered.select("snapshot_ref", "parent_ref", "is_head")
     up = m.select(F.col("snapshot_ref").alias("p1"), F.col("parent_ref").alias("p2"))
     pairs = m.where("is_head").join(up, F.col("parent_ref") == F.col("p1"), "left").select(F.col("snapshot_ref").alias("head"), F.coalesce("p2", "p1", "snapshot_ref").alias("baseline"))
-    return manifests.resolve_delta(s.layers, s.entries, pairs)
+    return _hashed(manifests.resolve_delta(s.numbered, s.entries, pairs))
 
 
 @query(with_sql("manifest_entries", """,
@@ -212,10 +221,10 @@ FROM manifests m LEFT JOIN known k USING (snapshot_ref) LEFT JOIN known p ON p.s
 def put_snapshot_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the layers are not stored yet; pages of every third chain are not; some candidates have another RAM size."""
     s = Store(spark, sf_dir)
-    layers, entries = s.layers, s.entries
+    layers, entries = s.numbered, s.entries
     index = entries.join(layers.where("chain % 3 != 0").select("snapshot_ref"), "snapshot_ref", "left_semi").select("page_hash").distinct()
     candidates = layers.withColumn("guest_ram_bytes", F.col("guest_ram_bytes") + F.when(F.col("o_orderkey") % 5 == 0, 4096).otherwise(0))
-    return manifests.put(candidates, entries, layers.where("o_orderkey % 4 != 0"), index)
+    return _hashed(manifests.put(candidates, entries, layers.where("o_orderkey % 4 != 0"), index))
 
 
 @query(with_sql("manifest_entries", """,
@@ -225,9 +234,9 @@ SELECT snapshot_ref, coalesce(n, 0) AS entry_count, CASE WHEN n > d THEN 'Duplic
 def manifest_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every eleventh layer has its first indices twice."""
     s = Store(spark, sf_dir)
-    layers, entries = s.layers, s.entries
+    layers, entries = s.numbered, s.entries
     twice = entries.where("page_index < 3").join(layers.where("o_orderkey % 11 = 0").select("snapshot_ref"), "snapshot_ref", "left_semi")
-    return manifests.validate(layers, entries.unionByName(twice.select(*entries.columns)))
+    return _hashed(manifests.validate(layers, entries.unionByName(twice.select(*entries.columns))))
 
 
 @query(with_sql("manifests", " SELECT count(*) AS manifest_count, CAST(sum(guest_ram_bytes) AS BIGINT) AS logical_bytes FROM manifests"))
@@ -245,9 +254,9 @@ def has_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flatten_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains cut after five layers: their root is a DELTA."""
     s = Store(spark, sf_dir)
-    layers = s.layers
+    layers = s.numbered
     chained = manifests.chain(layers, _heads(layers)).where("chain_pos < 5")
-    return manifests.flatten_errors(chained, layers, manifests.flatten(chained, s.entries)).where("error = 'RootNotFull'")
+    return _hashed(manifests.flatten_errors(chained, layers, manifests.flatten(chained, s.entries)).where("error = 'RootNotFull'"))
 
 
 # ------------------------------------------------------------------ trees
@@ -429,7 +438,7 @@ ix AS (SELECT DISTINCT page_hash FROM manifest_entries)
 SELECT logical_bytes, physical_bytes, round(logical_bytes / physical_bytes, 6) AS dedup_ratio FROM (SELECT CAST(sum(guest_ram_bytes) AS BIGINT) AS logical_bytes FROM manifests), (SELECT count(*) * 4133 AS physical_bytes FROM ix)"""))
 def dedup_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Store(spark, sf_dir)
-    return stats.dedup_ratio(s.layers, s.entries.select("page_hash").distinct())
+    return stats.dedup_ratio(s.numbered, s.entries.select("page_hash").distinct())
 
 
 @query(with_sql("nodes", """ SELECT greatest(1000, max(created_at), max(updated_at), (SELECT max(created_at) FROM input_logs)) + 1 AS next_counter FROM nodes"""))
@@ -641,10 +650,10 @@ def gc_root_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _gc(s: Store) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Layers, entries, index of their pages (a pack for each shard of eight hashes), live manifests, live pages. Roots are every
     fifth chain's third layer from the root, and the pins."""
-    layers, entries = s.layers, s.entries
-    refs = layers.where("chain % 5 = 0 AND o_orderkey % 3 = 0").select("snapshot_ref").union(s.pins.select("snapshot_ref")).distinct()
+    layers, entries = s.numbered, s.entries
+    refs = layers.where("chain % 5 = 0 AND o_orderkey % 3 = 0").select("snapshot_ref").union(P.pin_keys(s.spark, s.sf_dir)).distinct()
     live, _ = gc.mark(layers, refs)
-    index = entries.select("page_hash").distinct().withColumn("pack_id", (pages.shard_of_hex(F.col("page_hash")) / 8).cast("int"))
+    index = entries.select("page_hash").distinct().withColumn("pack_id", (pages.shard_of_hex(P.page("page_hash")) / 8).cast("int"))
     return layers, entries, index, live, gc.live_pages(live, entries)
 
 
@@ -660,12 +669,12 @@ plan AS (SELECT pack_id, total, live_count, round(live_count / total, 6) AS live
 
 @query(with_sql("manifest_entries pins", _LIVE + " SELECT snapshot_ref FROM live", True))
 def gc_live_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gc(Store(spark, sf_dir))[3]
+    return _hashed(_gc(Store(spark, sf_dir))[3])
 
 
 @query(with_sql("manifest_entries pins", _LIVE + " SELECT page_hash FROM live_pages", True))
 def gc_live_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gc(Store(spark, sf_dir))[4]
+    return _hashed(_gc(Store(spark, sf_dir))[4])
 
 
 @query(with_sql("manifest_entries pins", _LIVE + " SELECT pack_id, total, live_count, round(live_count / total, 6) AS liveness FROM liveness", True))
@@ -690,7 +699,7 @@ def gc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_sql("manifest_entries pins", _LIVE + " SELECT snapshot_ref FROM manifests WHERE snapshot_ref NOT IN (SELECT snapshot_ref FROM live)", True))
 def gc_manifest_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers, _, _, live, _ = _gc(Store(spark, sf_dir))
-    return gc.dead_manifests(layers, live)
+    return _hashed(gc.dead_manifests(layers, live))
 
 
 @query(with_sql("manifest_entries pins", _LIVE + """ SELECT page_hash, CAST(CASE WHEN action = 'COMPACT' THEN 32 + dense_rank() OVER (PARTITION BY action = 'COMPACT' ORDER BY pack_id) - 1 ELSE pack_id END AS INT) AS pack_id
@@ -698,9 +707,10 @@ FROM ix LEFT JOIN (SELECT pack_id, action FROM plan) USING (pack_id) WHERE actio
 def gc_swept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index after a sweep; a pack's entries are in the order of their hashes."""
     _, _, index, _, live = _gc(Store(spark, sf_dir))
-    index = index.withColumn("offset", F.xxhash64("page_hash"))
+    index = materialise(index.withColumn("offset", F.xxhash64("page_hash")), "index")  # read four times
+    live = materialise(live, "live")
     plan = gc.sweep_plan(gc.pack_liveness(index, live), 30, 0.2)
-    return gc.swept_index(index, plan, live, 32).select("page_hash", "pack_id")
+    return _hashed(gc.swept_index(index, plan, live, 32).select("page_hash", "pack_id"))
 
 
 # ------------------------------------------------------------------ integrity
@@ -737,7 +747,8 @@ def reconcile_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_sql("manifest_entries", " SELECT 'MissingPage' AS violation, page_hash AS subject, snapshot_ref || '#' || page_index AS detail FROM manifest_entries WHERE page_hash LIKE '0%'"))
 def fsck_missing_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = Store(spark, sf_dir).entries
-    return fsck.missing_pages(entries, entries.where("page_hash NOT LIKE '0%'").select("page_hash").distinct())
+    index = entries.where(~P.page("page_hash").startswith("0")).select("page_hash").distinct()
+    return fsck.page_violations(_hashed(pages.missing_pages(entries, index)))
 
 
 @query(with_sql("nodes", " SELECT 'MissingInputLog' AS violation, input_log_id AS subject, experiment_id || '/' || node_id AS detail FROM nodes WHERE input_log_id IS NOT NULL AND input_log_id NOT IN (SELECT log_id FROM input_logs WHERE page_id % 4 != 0)"))
@@ -768,11 +779,11 @@ def fsck_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All layers as containers and back: the entries that were decoded."""
     s = Store(spark, sf_dir)
-    layers = s.layers
-    entry = F.struct("page_index", F.unhex("page_hash").alias("page_hash"))
+    layers = s.numbered
+    entry = F.struct("page_index", F.unhex(P.page("page_hash")).alias("page_hash"))
     held = s.entries.groupBy("snapshot_ref").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     blob = F.struct(F.lit(7).cast("bigint").alias("format"), F.lit(False).alias("zstd"), F.lit("device").cast("binary").alias("bytes"), F.lit(6).cast("bigint").alias("raw_len"))
-    made = layers.join(held, "snapshot_ref").select(F.unhex("parent_ref").alias("parent_ref"), "guest_ram_bytes", "entries", blob.alias("device_blob"))
+    made = layers.join(held, "snapshot_ref").select(F.unhex(P.ref("parent_ref")).alias("parent_ref"), "guest_ram_bytes", "entries", blob.alias("device_blob"))
     back = containers.decode_manifests(containers.encode_manifests(made), "container").where("error IS NULL")
     return back.select(F.explode("entries").alias("e")).select("e.page_index", F.lower(F.hex("e.page_hash")).alias("page_hash"))
 

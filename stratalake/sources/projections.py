@@ -82,36 +82,56 @@ def input_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.sha2("html", 256).alias("log_id"), F.col("html").alias("content"), (F.col("page_id") + 1).alias("created_at"))
 
 
-def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of layers, a chain for each customer, a layer for each order; the first is FULL."""
+def ref(key: Column | str) -> Column:
+    """The hash of the layer of an order."""
+    return sha("m:", (F.col(key) if isinstance(key, str) else key).cast("string"))
+
+
+def page(name: Column | str) -> Column:
+    """The hash of the page of that text."""
+    return F.sha2(name, 256)
+
+
+def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of layers, a chain for each customer, a layer for each order; the first is FULL. snapshot_ref and parent_ref
+    are keys of orders: operators only compare them, and keys take an eighth of the bytes of hashes. ref() has the hash."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    ref = sha("m:", F.col("o_orderkey").cast("string"))
-    o = o.withColumn("parent_key", F.lag("o_orderkey").over(w)).withColumn("next_key", F.lead("o_orderkey").over(w))
+    o = o.withColumn("parent_ref", F.lag("o_orderkey").over(w)).withColumn("next_key", F.lead("o_orderkey").over(w))
     return o.select(
         "o_orderkey",
         F.col("o_custkey").alias("chain"),
-        ref.alias("snapshot_ref"),
-        F.when(F.col("parent_key").isNotNull(), sha("m:", F.col("parent_key").cast("string"))).alias("parent_ref"),
-        F.col("parent_key").isNotNull().alias("is_delta"),
+        F.col("o_orderkey").alias("snapshot_ref"),
+        "parent_ref",
+        F.col("parent_ref").isNotNull().alias("is_delta"),
         F.lit(RAM_PAGES * 4096).cast("bigint").alias("guest_ram_bytes"),
         F.col("next_key").isNull().alias("is_head"),
     )
 
 
-def manifest_entries(spark: SparkSession, sf_dir: str, layers: DataFrame) -> DataFrame:
-    """snapshot_ref, page_index, page_hash: the last line of each layer and index; FULL layers have every index."""
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """layers() by their hashes."""
+    return layers(spark, sf_dir).withColumns({"snapshot_ref": ref("snapshot_ref"), "parent_ref": ref("parent_ref")})
+
+
+def layer_entries(spark: SparkSession, sf_dir: str, layers: DataFrame) -> DataFrame:
+    """snapshot_ref, page_index, page_hash: the last line of each layer and index; FULL layers have every index. A layer is
+    its order's key and a page its text, which page() hashes. The rows of a layer are made after the join with its lines,
+    as the size of what explode() makes is not known to Spark, which would broadcast it."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
     l = l.withColumn("page_index", F.col("l_partkey") % RAM_PAGES)
     # the greatest (line, part, quantity) of each layer and index, without a sort
     best = l.groupBy("l_orderkey", "page_index").agg(F.max(F.struct("l_linenumber", "l_partkey", "l_quantity")).alias("b"))
-    digest = sha(F.col("b.l_partkey").cast("string"), ":", F.col("b.l_quantity").cast("bigint").cast("string"), ":", F.col("b.l_linenumber").cast("string"))
-    own = best.select(F.col("l_orderkey").alias("o_orderkey"), "page_index", digest.alias("page_hash"))
-    keys = layers.select("o_orderkey", "snapshot_ref", "is_delta")
-    there = keys.join(own, "o_orderkey")
-    full = keys.where(~F.col("is_delta")).select("o_orderkey", "snapshot_ref", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(RAM_PAGES - 1).cast("bigint"))).alias("page_index"))
-    filled = full.join(own, ["o_orderkey", "page_index"], "left").select("snapshot_ref", "page_index", F.coalesce("page_hash", sha(ZERO)).alias("page_hash"))
-    return there.where("is_delta").select("snapshot_ref", "page_index", "page_hash").unionByName(filled)
+    text = F.concat_ws(":", F.col("b.l_partkey").cast("string"), F.col("b.l_quantity").cast("bigint").cast("string"), F.col("b.l_linenumber").cast("string"))
+    whole = F.col("b.l_partkey").isNotNull() & F.col("b.l_quantity").isNotNull() & F.col("b.l_linenumber").isNotNull()
+    own = best.select(F.col("l_orderkey").alias("snapshot_ref"), "page_index", F.when(whole, text).alias("page_hash"))
+    held = own.repartition("snapshot_ref").groupBy("snapshot_ref").agg(F.collect_list(F.struct("page_index", "page_hash")).alias("held"))  # one for each index
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(RAM_PAGES - 1).cast("bigint"))
+    lines = F.coalesce("held", F.array().cast("array<struct<page_index: bigint, page_hash: string>>"))
+    inside = F.filter(lines, lambda e: e["page_index"].between(0, RAM_PAGES - 1) & e["page_hash"].isNotNull())
+    zeros = F.transform(F.array_except(every, inside["page_index"]), lambda i: F.struct(i.alias("page_index"), F.lit(ZERO).alias("page_hash")))
+    both = layers.select("snapshot_ref", "is_delta").join(held, "snapshot_ref", "left")
+    return both.select("snapshot_ref", F.explode(F.when(F.col("is_delta"), lines).otherwise(F.concat(inside, zeros))).alias("e")).select("snapshot_ref", "e.page_index", "e.page_hash")
 
 
 def kv_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +144,11 @@ def pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where("s_suppkey % 5 = 0").select(sha("m:", F.col("s_suppkey").cast("string")).alias("snapshot_ref"), F.col("s_name").alias("note"), (F.col("s_suppkey") + 1).alias("created_at"))
 
 
+def pin_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """snapshot_ref of the pins as in layers()."""
+    return table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").cast("bigint").alias("snapshot_ref"))
+
+
 def tombstones(tree: DataFrame) -> DataFrame:
     return tree.where("node_id % 100 = 11").select("experiment_id", "node_id", F.col("updated_at").alias("created_at"))
 

@@ -20,7 +20,7 @@ def below(df, node):
     return found
 
 
-@pytest.mark.parametrize("name", ["gc_report", "gc_sweep_plan"])
+@pytest.mark.parametrize("name", ["gc_report", "gc_sweep_plan", "gc_swept_index"])
 def test_no_broadcast_of_exploded_rows(spark, name):
     """Spark takes what explode() makes for as small as what goes in. The 64 rows of each FULL layer, 150 kB here, were under 20 kB to it."""
     was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

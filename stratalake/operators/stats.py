@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
+from math import ceil
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..schema import RECORD_SIZE, STATUS
+from ..session import materialise
 
 
 def _row(*parts: DataFrame) -> DataFrame:
@@ -49,8 +52,25 @@ def next_counter(persisted: int, *tables: DataFrame) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """The value at each rank ceil(p n) of the sorted column (discrete percentiles)."""
-    return df.agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)").alias(f"p{round(p * 100)}") for p in at])
+    """The value at each rank ceil(p n) of the sorted column (discrete percentiles; nulls do not count). Equal values are
+    counted first; the counts lie in ranges of values, and only the range that holds a rank is ordered by a task."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    # a table of its own, as bounds of ranges come from samples and may differ when they are made again
+    counts = materialise(counts.repartitionByRange("_value").withColumn("_part", F.spark_partition_id()), "counts")
+    parts = counts.groupBy("_part").agg(F.sum("_n").alias("n")).orderBy("_part").collect()  # a row for each partition
+    total, found = sum(r["n"] for r in parts), []
+    for p in at:
+        rank, before = max(1, ceil(Decimal(str(p)) * total)), 0
+        for r in parts:
+            if before + r["n"] >= rank:
+                w = Window.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+                inside = counts.where(F.col("_part") == r["_part"]).withColumn("_upto", F.sum("_n").over(w))
+                found.append(inside.where(F.col("_upto") >= rank - before).agg(F.min("_value").alias(f"p{round(p * 100)}")))
+                break
+            before += r["n"]
+        else:
+            found.append(counts.agg(F.min("_value").alias(f"p{round(p * 100)}")))  # no rows: null
+    return _row(*found)
 
 
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:

@@ -5,7 +5,7 @@ import re
 import pytest
 from tables import SF
 
-from stratalake.operators import pages
+from stratalake.operators import pages, stats
 from stratalake.plans import queries as plans
 
 
@@ -48,3 +48,13 @@ def test_hot_page_is_not_in_one_task(spark, monkeypatch, lost):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(sizes) == (3921 if lost else 1) and max(sizes) < 2000
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 101, 5000])
+def test_percentiles_in_ranges(spark, duck, n):
+    """Ties, nulls, no rows; no task gets all values."""
+    df = spark.range(n).selectExpr("CASE WHEN id % 7 = 6 THEN NULL ELSE CAST(id * 7919 % 1013 AS double) END AS v")
+    got = stats.percentiles(df, "v")
+    want = duck.sql(f"SELECT quantile_disc(v, 0.5), quantile_disc(v, 0.95), quantile_disc(v, 0.99) FROM (SELECT CASE WHEN id % 7 = 6 THEN NULL ELSE CAST(id * 7919 % 1013 AS DOUBLE) END AS v FROM range({n}) r(id))").fetchall()
+    assert [tuple(r) for r in got.collect()] == want
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()

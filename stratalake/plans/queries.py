@@ -47,6 +47,11 @@ class Store:
         """The pages of documents with an even id were stored before."""
         return self.blocks.where("doc_id % 2 = 0")
 
+    @property
+    def binary_blocks(self) -> DataFrame:
+        """The pages by the bytes of their hashes, half the size of the text."""
+        return self.blocks.withColumn("page_hash", F.unhex("page_hash"))
+
     @property
     def nodes(self) -> DataFrame:
         return P.nodes(self.spark, self.sf_dir)
@@ -85,6 +90,10 @@ class Store:
         return EXPERIMENT
 
 
+def _hex(df: DataFrame) -> DataFrame:
+    return df.withColumn("page_hash", F.lower(F.hex("page_hash")))
+
+
 # ------------------------------------------------------------------ pages
 
 
@@ -131,8 +140,8 @@ def unique_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_sql("page_index", """ SELECT doc_id, page_index, b.page_hash, pack_id, "offset", payload FROM page_blocks b JOIN page_index i ON b.page_hash = i.page_hash"""))
 def page_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Store(spark, sf_dir)
-    payloads = s.blocks.select("page_hash", "payload").dropDuplicates(["page_hash"])
-    return pages.fetch(s.blocks.select("doc_id", "page_index", "page_hash"), P.page_index(s.blocks), payloads)
+    payloads = s.binary_blocks.select("page_hash", "payload").dropDuplicates(["page_hash"])
+    return _hex(pages.fetch(s.binary_blocks.select("doc_id", "page_index", "page_hash"), P.page_index(s.binary_blocks), payloads))
 
 
 @query(with_sql("page_index", """ SELECT page_hash, pack_id, "offset" FROM page_index WHERE pack_id = 2"""))
@@ -146,7 +155,8 @@ new AS (SELECT page_hash, row_number() OVER (ORDER BY first) - 1 AS r FROM (SELE
 SELECT page_hash, CAST(100 + r // 128 AS INT) AS pack_id, CAST(20 + 4133 * (r % 128) AS BIGINT) AS "offset" FROM new"""))
 def pack_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Store(spark, sf_dir)
-    return pages.stored(pages.ingest(s.blocks, P.page_index(s.stored_blocks)), 100, 128)
+    blocks = s.binary_blocks.select("page_hash", "ordinal")
+    return _hex(pages.stored(pages.ingest(blocks, P.page_index(s.binary_blocks.where("doc_id % 2 = 0"))), 100, 128))
 
 
 @query(with_sql("page_index", """ SELECT CAST(strpos('0123456789abcdef', substr(page_hash, 1, 1)) * 16 + strpos('0123456789abcdef', substr(page_hash, 2, 1)) - 17 AS INT) AS shard, count(*) AS pages FROM page_index GROUP BY 1"""))

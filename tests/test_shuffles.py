@@ -58,3 +58,17 @@ def test_percentiles_in_ranges(spark, duck, n):
     want = duck.sql(f"SELECT quantile_disc(v, 0.5), quantile_disc(v, 0.95), quantile_disc(v, 0.99) FROM (SELECT CASE WHEN id % 7 = 6 THEN NULL ELSE CAST(id * 7919 % 1013 AS DOUBLE) END AS v FROM range({n}) r(id))").fetchall()
     assert [tuple(r) for r in got.collect()] == want
     assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_of_new_pages_read_a_table(spark):
+    """Counts, bounds and places of new pages do not make the outcomes anew."""
+    outcomes = spark.range(300).selectExpr("id AS ordinal", "sha2(CAST(id AS string), 256) AS page_hash", "id % 3 = 0 AS newly_written")
+    placed = pages.stored(outcomes, 100, 10)
+    assert "Range (" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r["pack_id"], r["offset"]) for r in placed.collect())
+    assert got == [(100 + k // 10, 20 + 4133 * (k % 10)) for k in range(100)]
+
+
+def test_pages_are_fetched_by_binary_hashes(spark):
+    dealt = below(plans.queries()["page_fetch"](spark, SF), "Exchange")
+    assert dealt and all("unhex" in x for x in dealt)

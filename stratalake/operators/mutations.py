@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import LOG_MAX, LOG_MIN, PRUNED, VALUE_MAX
+from ..session import materialise
 from .tree import subtree
 
 KEY = ["experiment_id", "node_id"]
@@ -29,8 +30,10 @@ def create_outcomes(nodes: DataFrame, creates: DataFrame, logs: DataFrame) -> Da
     EXISTING (same parent, snapshot and log), ALREADY_EXISTS, INSERTED."""
     parent = nodes.select("experiment_id", F.col("node_id").alias("parent_node_id"), F.col("status").alias("_parent_status"), F.col("depth").alias("_parent_depth"))
     stored = nodes.select(*KEY, F.struct("parent_node_id", "snapshot_ref", "input_log_id").alias("_stored"))
-    known = logs.select(F.col("log_id").alias("input_log_id")).distinct().withColumn("_log", F.lit(True))
-    both = creates.join(parent, ["experiment_id", "parent_node_id"], "left").join(stored, KEY, "left").join(known, "input_log_id", "left")
+    # a table of its own, so that adaptive execution can split the join at a log of many creates; those without one are dealt out
+    known = materialise(logs.where("log_id IS NOT NULL").select(F.col("log_id").alias("input_log_id"), F.lit(0).cast("bigint").alias("_salt")).distinct(), "known-logs").withColumn("_log", F.lit(True))
+    both = creates.join(parent, ["experiment_id", "parent_node_id"], "left").join(stored, KEY, "left")
+    both = both.withColumn("_salt", F.when(F.col("input_log_id").isNull(), F.xxhash64(*KEY, "ordinal")).otherwise(0)).join(known, ["input_log_id", "_salt"], "left")
     own = F.struct("parent_node_id", "snapshot_ref", "input_log_id")
     fine = (
         F.when(~F.octet_length("experiment_id").between(1, 128) | F.col("snapshot_ref").isNull(), "INVALID")

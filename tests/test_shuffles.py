@@ -72,3 +72,9 @@ def test_places_of_new_pages_read_a_table(spark):
 def test_pages_are_fetched_by_binary_hashes(spark):
     dealt = below(plans.queries()["page_fetch"](spark, SF), "Exchange")
     assert dealt and all("unhex" in x for x in dealt)
+
+
+def test_creates_without_a_log_are_dealt_out(spark):
+    """They have one key, null, and would meet in one task."""
+    plan = plans.queries()["create_node_apply"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(input_log_id#\d+, _salt#\d+L?,", plan)
